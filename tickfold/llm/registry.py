@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL for those that SQL can express."""
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (bpe, exact_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
