@@ -36,7 +36,7 @@ TEMPERATURE = 0.1
 SEED = 42
 SMOOTHING = 0.5
 #: Losing a clean text costs e^MARGIN times as much as keeping a bad one.
-MARGIN = 2.0
+MARGIN = 1.5
 SIGNIFICANT = 7.0
 #: Texts of a class that an n-gram must occur in to count.
 LEAST_TEXTS = 4
