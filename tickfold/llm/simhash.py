@@ -34,6 +34,8 @@ RADIUS = 2
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Bytes of a word that tells texts apart; shorter ones are mostly function words.
+LONG = 6
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -79,7 +81,7 @@ def candidates(fps: DataFrame) -> DataFrame:
     """The different fingerprints that share a bucket of some table with another one."""
     masks = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(covering_masks())]
     dealt = fps.select("fp", F.explode(F.array(*masks)).alias("b")).select("fp", "b.t", "b.key")
-    full = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "key")
+    full = stored(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "key"), "simhash-buckets")
     return dealt.join(full, ["t", "key"], "left_semi").select("fp").distinct()
 
 
@@ -135,5 +137,96 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def word_fingerprints(text: bytes, prints: int) -> list[int]:
+    """Independent fingerprints for loosely similar texts: of the different words of at least ``LONG`` bytes (of all words, if none is that long)."""
+    words = text.lower().split()
+    seen = {w for w in words if len(w) >= LONG} or set(words)
+    if not seen:
+        return [0] * prints
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, SEED) for w in seen], "<u8")
+    out = []
+    for k in range(prints):
+        mixed = (h ^ (h >> np.uint64(32))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        ones = np.zeros(64, "i8")
+        for at in range(0, len(h), BLOCK):
+            ones += np.unpackbits(mixed[at : at + BLOCK].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The sorted hashes of the different shingles; a text of fewer words is one."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, "u8")
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], "u8"))
+
+
+def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> DataFrame:
+    """Edges (a, b) between ids: members of a bucket and the bucket's representative, if the Jaccard similarity of their shingles is at least ``least``.
+
+    The representative of a bucket is its first id in a hash order of the bucket's own, so a bucket of n costs n - 1 pairs, and a pair that misses its
+    representative in one table has other tables and representatives.
+    """
+
+    def mark(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_fingerprints(x.as_py() or b"", prints) for x in b.column(1)], pa.list_(pa.int64()))], ["doc_id", "fps"])
+
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
+    marked = stored(texts.mapInArrow(mark, "doc_id long, fps array<long>"), "words-simhash")
+    masks = covering_masks(radius)
+    keys = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.col("fps")[k].bitwiseAND(F.lit(signed(m)))) for k in range(prints) for i, m in enumerate(masks)])
+    dealt = marked.select("doc_id", F.explode(keys).alias("bucket"))
+    first = dealt.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("rep"))).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stored(first.select("bucket", F.col("m.rep").alias("rep")), "similar-buckets")  # stored, so that the join may split a hot bucket
+    pairs = dealt.join(first, "bucket").filter("doc_id <> rep")
+    pairs = stored(pairs.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct(), "similar-candidates")
+
+    def verify(batches):
+        known: dict[int, np.ndarray] = {}
+
+        def of(i, text):
+            if i not in known:
+                if len(known) > 64:
+                    known.clear()
+                known[i] = shingles(text, width)
+            return known[i]
+
+        for b in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                s, t = of(x, b.column(2)[i].as_py()), of(y, b.column(3)[i].as_py())
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= least * (len(s) + len(t) - both))
+            hit = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], ["a", "b"])
+
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
+
+
+def keep_one_each(docs: DataFrame, prints: int = 8, radius: int = 3, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of near copies the one with the smallest id.
+
+    Near copies share ``least`` of their ``width``-word shingles. Candidates come
+    from ``prints`` independent word fingerprints: those that differ in at most
+    ``radius`` bits in one of them meet in some covering table. Words changed at a
+    rate that leaves ``least`` of the shingles flip 4 bits on average, so one
+    print finds two in five such pairs and eight find 98 in a hundred. Texts without words are equal to
+    each other. Rows with null ids stay; rows that repeat an id stay or go together.
+    """
+    groups = components(similar_pairs(docs, prints, radius, width, least))
+    lead = groups.groupBy("root").agg(F.min("v").alias("stays"))
+    gone = stored(groups.join(lead, "root").filter("v <> stays").select(F.col("v").alias("doc_id")), "simhash-dropped")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 SQL: dict[str, str] = {}
 QUERIES = {"op9_simhash": op9_simhash}
