@@ -4,14 +4,14 @@ Built from DataFrame functions alone. Words are the runs of letters and digits
 (every character outside ASCII counts as a letter), A-Z lower-cased.
 
 1. The test side: each item's windows of ``WINDOW`` words (a shorter item is one
-   window), equal windows of several items kept once.
+   window).
 2. The index: postings (document, position, term) of every training token that
    is a term of the test side, stored in document order. Tokens that no test
    item has are never looked up, so they are not kept.
 3. Rarest first: the index itself gives the terms' frequencies. Of each window
    the ``SEEDS`` rarest terms are looked up, their postings are shifted by the
-   term's place in the window and intersected: a (document, start) survives if
-   all seed terms put it there.
+   term's place in the item and intersected: a (document, item, shift) survives
+   for the windows whose seed terms all put it there.
 4. Survivors are compared with the document's words, all of the window.
 
 Terms and seeds are joined by broadcast only below ``BROADCAST_ROWS`` rows, which
@@ -21,17 +21,16 @@ share makes many postings but each document's matches stay with the document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, read_table, row_key, stored
+from .common import UPPER, ascii_lower, read_table, stored
 
 WINDOW = 10
-SEEDS = 3
+SEEDS = 2
 BROADCAST_ROWS = 500_000
 #: Fixed value: ASCII characters that part words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-KEY = ["doc_id", "text_h", "text_n"]
 
 
 def words(text):
@@ -48,43 +47,51 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """win (id), terms, len, items (ids as strings) for each different window."""
-    split = items.select(F.col(id_col).cast("string").alias("item"), words(ascii_lower(F.col(text_col))).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    each = split.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.lit(size)))).alias("terms"))
-    kept = each.groupBy("terms").agg(F.collect_set(F.coalesce("item", F.lit("null"))).alias("items"))
-    return kept.select(F.sha2(F.array_join("terms", " "), 256).alias("win"), "terms", F.size("terms").alias("len"), "items")
+def test_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """no, item (its id as a string) and w (its words) for each item that has words."""
+    split = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words(ascii_lower(F.col(text_col))).alias("w"))
+    return stored(split.filter(F.size("w") > 0).select(F.monotonically_increasing_id().alias("no"), "item", "w"), "bench-items")
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (doc_id, text_h, text_n, pos, term) of the terms in vocabulary (column term)."""
-    tokens = docs.select(*row_key(id_col, text_col), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    found = tokens.select(*KEY, "pos", lowered(F.col("word")).alias("term"))
-    return found.join(maybe_broadcast(vocabulary), "term").select(*KEY, "pos", "term")
+    """Postings (uid, pos, term) of the terms in vocabulary (column term). uid is a hash of id and text; should two rows share one, they share candidates, which are compared with the text anyway."""
+    tokens = docs.select(uid(id_col, text_col), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
+    return tokens.select("uid", "pos", lowered(F.col("word")).alias("term")).join(maybe_broadcast(vocabulary), "term").select("uid", "pos", "term")
 
 
-def seeds(wins: DataFrame, index: DataFrame, n: int = SEEDS) -> DataFrame:
-    """(term, win, off, need): the places of each window's n rarest terms. A window with a term the corpus lacks has none."""
+def uid(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid")
+
+
+def windows(wanted: DataFrame, index: DataFrame, size: int = WINDOW, n: int = SEEDS) -> DataFrame:
+    """no, item, begin, terms, offs, seed_terms: each item's windows with the places (in the item) of their n rarest terms. Windows with a term that the corpus lacks are left out."""
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    places = wins.select("win", "len", F.posexplode("terms").alias("off", "term"))
-    rated = places.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    whole = rated.groupBy("win").agg(F.min("df").alias("least"))
-    order = Window.partitionBy("win").orderBy("df", "term", "off")
-    live = rated.join(whole.filter("least > 0"), "win").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
-    return live.select("term", "win", "off", F.least(F.col("len"), F.lit(n)).alias("need"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
+    each = wanted.select("no", "item", F.explode(begins).alias("begin"), "w").select("no", "item", "begin", F.slice("w", F.col("begin") + 1, F.lit(size)).alias("terms"))
+    places = each.select("no", "begin", F.posexplode("terms").alias("at", "term"))
+    rated = places.join(df, "term", "left").select("no", "begin", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", (F.col("begin") + F.col("at")).alias("off")).alias("p"))
+    rarest = rated.groupBy("no", "begin").agg(F.slice(F.array_sort(F.collect_list("p")), 1, n).alias("p")).filter(F.col("p")[0]["df"] > 0)
+    return each.join(rarest, ["no", "begin"]).select("no", "item", "begin", "terms", F.col("p.off").alias("offs"), F.col("p.term").alias("seed_terms"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact matches: one row per different (doc_id, text) with any, hits array<struct<start, len, items>> among the candidates that hold."""
-    wins = stored(windows(items, size), "bench-windows")
-    vocabulary = stored(wins.select(F.explode("terms").alias("term")).distinct(), "bench-terms")
+    """Candidates (uid, found array<struct<start, len, terms, item>>): places where all seed terms of a window agree.
+
+    Postings are shifted by the term's place in its item, so one posting serves
+    all of the item's windows that it is a seed of, and are intersected on
+    (document, item, shift).
+    """
+    wanted = test_items(items, text_col="text")
+    vocabulary = stored(wanted.select(F.explode("w").alias("term")).distinct(), "bench-terms")
     index = stored(build_index(docs, vocabulary, id_col, text_col), "postings")
-    seed = stored(seeds(wins, index), "bench-seeds")
-    shifted = index.join(maybe_broadcast(seed), "term").select(*KEY, "win", (F.col("pos") - F.col("off")).alias("start"), "off", "need")
-    agreed = shifted.filter("start >= 0").groupBy(*KEY, "win", "start", "need").agg(F.count_distinct("off").alias("n")).filter("n = need")
-    full = agreed.join(maybe_broadcast(wins), "win").select(*KEY, F.struct("start", "len", "terms", "items").alias("m"))
-    return full.groupBy(*KEY).agg(F.collect_set("m").alias("found"))
+    wins = stored(windows(wanted, index, size), "bench-windows")
+    seed = stored(wins.select("no", F.explode(F.arrays_zip("offs", "seed_terms")).alias("z")).select("no", F.col("z.offs").alias("off"), F.col("z.seed_terms").alias("term")).distinct(), "bench-seeds")
+    least = wins.groupBy("no").agg(F.min(F.size("offs")).alias("need"))
+    shifted = index.join(maybe_broadcast(seed), "term").select("uid", "no", (F.col("pos") - F.col("off")).alias("shift"), "off")
+    agreed = shifted.groupBy("uid", "no", "shift").agg(F.collect_set("off").alias("there")).join(maybe_broadcast(least), "no").filter(F.size("there") >= F.col("need"))
+    full = agreed.join(maybe_broadcast(wins), "no").filter((F.size(F.array_except("offs", "there")) == 0) & (F.col("shift") + F.col("begin") >= 0))
+    place = F.struct((F.col("shift") + F.col("begin")).alias("start"), F.size("terms").alias("len"), "terms", "item")
+    return full.select("uid", place.alias("m")).groupBy("uid").agg(F.collect_set("m").alias("found"))
 
 
 def covered(spans):
@@ -106,13 +113,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     null item id is named ``null``. An empty table of documents gives none, one
     of items leaves all documents clean. Other columns are ignored.
     """
-    base = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    base = docs.select(uid(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = matches(docs, items, size, id_col, text_col)
-    joined = base.join(found.select(F.col("doc_id").alias("d"), F.col("text_h").alias("h"), F.col("text_n").alias("n"), "found"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_h").eqNullSafe(F.col("h"))) & (F.col("text_n") == F.col("n")), "left")
-    split = joined.select("doc_id", words(F.col("text")).alias("raw"), "found")
+    split = base.join(found, "uid", "left").select("doc_id", words(F.col("text")).alias("raw"), "found")
     same = lambda m: F.transform(F.slice("raw", m["start"] + 1, m["len"]), lowered) == m["terms"]
     held = split.select("doc_id", F.size("raw").cast("long").alias("n_words"), F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), same).alias("hits"))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda m: m["items"]))))
+    names = F.array_sort(F.array_distinct(F.transform("hits", lambda m: m["item"])))
     spans = F.transform("hits", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len")))
     out = held.select("doc_id", "n_words", covered(spans).cast("long").alias("n_hit"), names.alias("names"))
     return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
