@@ -49,44 +49,58 @@ STEMS = (4, 5, 6)
 #: Shares of words equal to the one before from which a text counts as repetitive.
 REPEATS = (0.1, 0.3)
 CACHE_ENTRIES = 500_000
+BLOCK_WORDS = 1 << 16
 #: ASCII marks and digits part words; marks themselves form a second stream of tokens.
 WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 LETTERS = bytes(b for b in range(256) if chr(b).isalnum() and b < 128 or b >= 128)
 
 
 class Grams:
-    """The unigrams and bigrams of a text, each hashed to a bucket in the lower half and, independently, to one in the upper. Two n-grams that share both are rare."""
+    """The n-grams of a text: words, pairs of neighbouring words, marks and their pairs, beginnings of words, and the text's shape. Each is hashed to a bucket in the lower half and, independently, to one in the upper; two n-grams that share both are rare. ``buckets`` is a power of two."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, {}
+        self.half, self.known = buckets // 2, {}
+        self.table, self.used = np.zeros((1 << 16, 1 + len(STEMS)), "u8"), 0
 
-    def token(self, t: bytes) -> int:
-        got = self.known.get(t)
+    def number(self, word: bytes) -> int:
+        """Row of the table with the hashes of word and of its beginnings (zero where it has none)."""
+        got = self.known.get(word)
         if got is None:
-            got = xxhash.xxh64_intdigest(t, SEED)
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[t] = got
+            if self.used == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            got, self.used = self.used, self.used + 1
+            self.known[word] = got
+            self.table[got] = [hash_of(word), *(hash_of(b"\3" + word[:n]) if len(word) > n else 0 for n in STEMS)]
         return got
 
-    def stream(self, tokens: list[bytes]) -> np.ndarray:
-        h = np.array(list(map(self.token, tokens)), "u8")
-        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
-        return np.concatenate([h, pair * np.uint64(0xC2B2AE3D27D4EB4F)])
+    @staticmethod
+    def pairs(h: np.ndarray) -> np.ndarray:
+        return ((h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
 
-    def of(self, text: bytes) -> np.ndarray:
-        """The different buckets: word and mark n-grams, the beginnings of words, how often a word repeats the one before, and the order of magnitude of the length."""
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket numbers in either half, repeats included."""
+        if self.used > CACHE_ENTRIES:
+            self.known.clear()
+            self.used = 0
+        parts, n, same = [], 0, 0
         split = text.translate(WORDS).split()
-        words = self.stream(split)
-        marks = self.stream([b"\0" + m for m in text.translate(None, LETTERS).split()])
-        same = np.count_nonzero(words[1 : len(split)] == words[: len(split) - 1]) if len(split) > 1 else 0
-        often = sum(same >= share * max(1, len(split)) for share in REPEATS)
-        seen = set(split)
-        stems = [self.token(t) for n in STEMS for t in {b"\3" + w[:n] for w in seen if len(w) > n}]
-        shape = [self.token(b"\1%d" % often), self.token(b"\2%d" % len(split).bit_length())]
-        h = np.unique(np.concatenate([words, marks, np.array(stems + shape, "u8")]))
-        half = np.uint64(self.buckets // 2)
-        return np.stack([h % half, (h >> np.uint64(29)) % half + half]).astype("i8")
+        for at in range(0, len(split), BLOCK_WORDS):
+            ids = [*map(self.number, split[at : at + BLOCK_WORDS + 1])]  # one word over, for the pair across
+            rows = self.table[ids]
+            h = rows[:, 0]
+            parts += [rows.ravel(), self.pairs(h)]
+            same += int(np.count_nonzero(h[1:] == h[:-1]))
+            n += len(split[at : at + BLOCK_WORDS])
+        marks = np.array([hash_of(b"\0" + m) for m in text.translate(None, LETTERS).split()], "u8")
+        often = sum(same >= share * max(1, n) for share in REPEATS)
+        shape = np.array([hash_of(b"\1%d" % often), hash_of(b"\2%d" % n.bit_length())], "u8")
+        h = np.concatenate([*parts, marks, self.pairs(marks), shape])
+        low = np.uint64(self.half - 1)
+        return (h & low).astype("i4"), ((h >> np.uint64(29)) & low).astype("i4") + np.int32(self.half)
+
+
+def hash_of(token: bytes) -> int:
+    return xxhash.xxh64_intdigest(token, SEED)
 
 
 def histograms(texts: DataFrame, buckets: int) -> DataFrame:
@@ -98,7 +112,8 @@ def histograms(texts: DataFrame, buckets: int) -> DataFrame:
             for kind, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 if kind not in sums:
                     sums[kind] = np.zeros(buckets, "i8")
-                sums[kind][grams.of(x.as_py() or b"").ravel()] += 1
+                for at in grams.of(x.as_py() or b""):
+                    sums[kind][at] += 1  # repeats count once
                 docs_of[kind] = docs_of.get(kind, 0) + 1
         for kind, n in sums.items():
             at = np.flatnonzero(n)
@@ -136,9 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labelled
     return np.where(apart & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0).T, odds
 
 
-def evidence(ratio: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The sum of log ratios of n-grams given by both their buckets; if these disagree, the one nearer to zero, or zero if their signs differ."""
-    a, b = ratio[at[0]], ratio[at[1]]
+def evidence(ratio: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The sum of log ratios of the different n-grams given by both their buckets; if these disagree, the one nearer to zero, or zero if their signs differ."""
+    hit = live[low] & live[high]
+    both = np.unique(np.stack([low[hit], high[hit]]), axis=1)
+    a, b = ratio[both[0]], ratio[both[1]]
     return np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0).sum(axis=0, dtype="f8")
 
 
@@ -148,8 +165,9 @@ def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray, buckets: int = B
 
     def run(batches):
         grams, known = Grams(buckets), table.value
+        live = known.any(axis=1)
         for b in batches:
-            weight = [-float((evidence(known, grams.of(x.as_py() or b"")) + odds).max()) for x in b.column(2).cast(pa.binary())]
+            weight = [-float((evidence(known, live, *grams.of(x.as_py() or b"")) + odds).max()) for x in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weight, pa.float64())], ["doc_id", "h", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, log_weight double")
