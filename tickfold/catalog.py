@@ -1,12 +1,334 @@
-"""The registered queries of the engine and the SQL that each must agree with."""
+"""The registered queries of the engine and the SQL that each must agree with.
+
+All read the whole events table, as observations of a history that is sampled once
+a minute (see sources.activity.from_events).
+"""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codec
+from .history import History
+from .model import CLASSES, Config, as_time, r2, seconds
+from .operators import grains, legacy, readers, render, report, rollup
+from .plans.planner import Filters, SourceStats, Window
+from .sources.activity import from_events
 
+START, MIDDLE, END = (seconds(datetime(2024, m, d)) for m, d in ((1, 1), (1, 16), (2, 1)))
+WHOLE = Window(START, END)
+CONFIG = Config(sample_interval=60, rollup_min_backend_seconds=1, rollup_1m_retention_days=60)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: SQL that all share: obs is the adapter, g1 the minutes.
+OBS = """WITH obs AS (
+  SELECT date_trunc('second', ts) AS sample_ts, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, 'db' || CAST(event_id % 3 AS VARCHAR) AS database,
+         CASE WHEN event_type = 'click' THEN 'idle in transaction' ELSE 'active' END AS state,
+         CASE event_type WHEN 'purchase' THEN 'IO' WHEN 'signup' THEN 'LWLock' WHEN 'error' THEN 'Lock' WHEN 'click' THEN 'IdleTx' ELSE 'CPU*' END AS type,
+         CASE event_type WHEN 'purchase' THEN 'DataFileRead' WHEN 'signup' THEN 'WALWrite' WHEN 'error' THEN 'tuple' WHEN 'click' THEN 'IdleTx' ELSE 'CPU*' END AS event,
+         CASE WHEN event_id % 10 <> 0 THEN user_id END AS query_id FROM events
+), o AS (SELECT *, CASE WHEN event = type THEN event ELSE type || ':' || event END AS wait, s - s % 60 AS m FROM obs)
+"""
+
+
+def sql_r2(x: str, digits: int = 2) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+
+
+def sql_time(x: str) -> str:
+    return f"make_timestamp(CAST({x} AS BIGINT) * 1000000)"
+
+
+def sql_secs(size: int, start: int = START, end: int = END, b: str = "bs") -> str:
+    return f"(least({b} + {size}, {end}) - greatest({b}, {start}))"
+
+
+def history(spark: SparkSession, sf_dir: str) -> History:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return History(spark, lambda lo, hi: from_events(events, lo, hi), END, config=CONFIG, stats=SourceStats(raw_oldest=START))
+
+
+def minutes_history(spark: SparkSession, sf_dir: str) -> History:
+    mins = rollup.roll_minutes(history(spark, sf_dir).rows(), CONFIG)
+    return History(spark, None, END, mins, None, CONFIG, stats=SourceStats(minute_oldest=START, minute_watermark=END))
+
+
+def hours_history(spark: SparkSession, sf_dir: str) -> History:
+    hours = rollup.roll_hours(minutes_history(spark, sf_dir).minutes)
+    return History(spark, None, END, None, hours, CONFIG, stats=SourceStats(hour_oldest=START))
+
+
+def full_history(spark: SparkSession, sf_dir: str) -> History:
+    h = history(spark, sf_dir)
+    mins = rollup.roll_minutes(h.rows(), CONFIG)
+    return History(spark, h._observations, END, mins, rollup.roll_hours(mins), CONFIG, minute_watermark=END, stats=SourceStats(raw_oldest=START, minute_oldest=START, hour_oldest=START, minute_watermark=END))
+
+
+def add(name: str, sql: str | None = None, using=history):
+    """Register a query on a history; its SQL goes on from OBS."""
+
+    def wrap(f):
+        QUERIES[name] = lambda spark, sf_dir: f(using(spark, sf_dir))
+        if sql is not None:
+            SQL[name] = OBS + sql
+        return f
+
+    return wrap
+
+
+# Scans and filters
+
+ROW = "sample_ts, database, state, type AS wait_event_type, event AS wait_event, CAST(query_id AS VARCHAR) AS query_id"
+
+
+
+def texted(rows: DataFrame) -> DataFrame:
+    """Query ids as text: a whole number that may be null has no one form in every client."""
+    return rows.withColumn("query_id", F.col("query_id").cast("string"))
+
+
+def _register_filters() -> None:
+    def by(f: Filters):
+        def run(h):
+            rows = h.rows(START, END).filter(grains.wait_matches(F.col("wait_event_type"), F.col("wait_event"), f))
+            if f.query_id is not None:
+                rows = rows.filter(F.col("query_id") == f.query_id)
+            return texted(rows if f.database is None else rows.filter(F.col("database") == f.database))
+
+        return run
+
+    for name, cond, f in (
+        ("observations_scan", "true", Filters()),
+        ("filter_wait_type", "type = 'IO'", Filters(wait_event_type="IO")),
+        ("filter_wait_event_either", "wait = 'tuple' OR event = 'tuple'", Filters(wait_event="tuple")),
+        ("filter_query", "query_id = 7", Filters(query_id=7)),
+        ("filter_database", "database = 'db1'", Filters(database="db1")),
+    ):
+        add(name, f"SELECT {ROW} FROM o WHERE {cond}")(by(f))
+
+
+# Grains
+
+
+def _register_grains() -> None:
+    add("minute_grain_counts", f"SELECT {sql_time('m')} AS minute, count(*) FILTER (WHERE type = 'IO') AS cnt FROM o GROUP BY m")(
+        lambda h: grains.grain_counts(h, WHOLE, "raw", Filters(wait_event_type="IO")).select(as_time(F.col("ts")).alias("minute"), "cnt")
+    )
+    for dim, col in (("wait_event_type", "type"), ("wait_event", "wait"), ("query_id", "CAST(query_id AS VARCHAR)"), ("database", "database")):
+        add(f"minute_grain_by_{dim}", f"SELECT {sql_time('m')} AS minute, {col} AS key, count(*) AS cnt FROM o GROUP BY m, {col}")(
+            lambda h, dim=dim: grains.grain_by(h, WHOLE, "raw", dim, Filters()).select(as_time(F.col("ts")).alias("minute"), "key", "cnt")
+        )
+
+
+# aas, timeline, periods
+
+
+def sql_aas(size: int = 60, cond: str = "true", scope: str = "true", start: int = START, end: int = END, source: str = "raw", prefix: str = "", name: str = "") -> str:
+    """One SELECT for one window; joined by UNION ALL for several."""
+    expected = (end - 1) // size - start // size + 1
+    return f"""SELECT {name} * FROM (
+  SELECT {sql_time(str(start))} AS period_start, {sql_time(str(end))} AS period_end, '{source}' AS source, CAST({size} AS BIGINT) AS effective_bucket_secs,
+         CAST({expected} AS BIGINT) AS buckets_expected, count(*) AS buckets_with_data,
+         {sql_r2(f"coalesce(sum(cnt), 0) * CAST(60 AS DOUBLE) / {end - start}")} AS avg_aas, coalesce({sql_r2("max(load)")}, 0.0) AS peak_aas,
+         coalesce({sql_r2("quantile_cont(load, 0.99)")}, 0.0) AS p99_aas, {sql_r2("coalesce(sum(cnt), 0) * CAST(60 AS DOUBLE)")} AS backend_seconds
+  FROM (SELECT cnt, cnt * CAST(60 AS DOUBLE) / {sql_secs(size, start, end)} AS load
+        FROM (SELECT m - m % {size} AS bs, count(*) FILTER (WHERE {cond}) AS cnt FROM o WHERE m >= {start} AND m < {end} AND {scope} GROUP BY 1)))"""
+
+
+def _register_aas() -> None:
+    for name, kwargs, cond, scope in (
+        ("aas_window", {}, "true", "true"),
+        ("aas_filtered_type", {"wait_event_type": "Lock"}, "type = 'Lock'", "true"),
+        ("aas_filtered_event", {"wait_event": "IO:DataFileRead"}, "wait = 'IO:DataFileRead'", "true"),
+        ("aas_filtered_query", {"query_id": 7}, "coalesce(query_id = 7, false)", "true"),
+        ("aas_filtered_database", {"database": "db1"}, "true", "database = 'db1'"),
+    ):
+        add(name, sql_aas(60, cond, scope))(lambda h, kwargs=kwargs: readers.aas(h, START, END, **kwargs))
+    add("aas_bucket_90s", sql_aas(120))(lambda h: readers.aas(h, START, END, bucket="90 seconds"))
+    add("aas_bucket_1h", sql_aas(3600))(lambda h: readers.aas(h, START, END, bucket="1 hour"))
+    add("aas_rollup_1m", sql_aas(60, source="rollup_1m"), minutes_history)(lambda h: readers.aas(h, START, END))
+    add("aas_rollup_1h", sql_aas(60, source="rollup_1h"), hours_history)(lambda h: readers.aas(h, START, END))
+    for size, tag in ((60, "1m"), (3600, "1h"), (86400, "1d")):
+        text = f""", g AS (SELECT m, count(*) AS cnt FROM o GROUP BY m), b AS (
+  SELECT m - m % {size} AS bs, count(*) AS n, sum(cnt) AS cnt, max(CAST(cnt AS DOUBLE)) AS peak, quantile_cont(CAST(cnt AS DOUBLE), 0.99) AS p99 FROM g GROUP BY 1
+), t AS (SELECT unnest(range({START}, {END}, {size})) AS bs)
+SELECT {sql_time("t.bs")} AS bucket_start, 'raw' AS source, coalesce(n, 0) AS data_points, {sql_r2(f"cnt * CAST(60 AS DOUBLE) / {size}")} AS avg_aas,
+       {sql_r2("peak")} AS peak_aas, {sql_r2("p99")} AS p99_aas FROM t LEFT JOIN b ON t.bs = b.bs"""
+        add(f"timeline_{tag}", text)(lambda h, size=size: readers.timeline(h, START, END, size))
+        if tag == "1m":
+            add("timeline_gaps", text + " WHERE n IS NULL")(lambda h: readers.timeline(h, START, END, 60).filter("data_points = 0"))
+    until = seconds(datetime(2024, 1, 29))
+    rows = [sql_aas(60, start=until - s, end=until, name=f"'{k}' AS period,") for k, s in readers.PERIODS.items()]
+    add("periods", "\nUNION ALL\n".join(rows))(lambda h: readers.periods(h, until))
+
+
+# top and compare
+
+
+def sql_keyed(key: str, cond: str = "true", start: int = START, end: int = END, tag: str = "", null_key: bool = True) -> str:
+    """CTEs k (per key: total, avg_aas, peak_aas, p99_aas, backend_seconds, pct) with zeros laid out for every covered minute."""
+    return f""", kb{tag} AS (SELECT {key} AS key, m, count(*) AS cnt FROM o WHERE m >= {start} AND m < {end} AND {cond} GROUP BY 1, 2),
+cov{tag} AS (SELECT DISTINCT m FROM o WHERE m >= {start} AND m < {end}), ks{tag} AS (SELECT key, sum(cnt) AS total FROM kb{tag} GROUP BY key),
+fr{tag} AS (SELECT ks{tag}.key, total, coalesce(kb{tag}.cnt, 0) * CAST(60 AS DOUBLE) / 60 AS load FROM ks{tag} CROSS JOIN cov{tag} LEFT JOIN kb{tag} ON kb{tag}.key IS NOT DISTINCT FROM ks{tag}.key AND kb{tag}.m = cov{tag}.m),
+k{tag} AS (SELECT key, total, {sql_r2(f"total * CAST(60 AS DOUBLE) / {end - start}")} AS avg_aas, {sql_r2("max(load)")} AS peak_aas, {sql_r2("quantile_cont(load, 0.99)")} AS p99_aas,
+  {sql_r2("total * CAST(60 AS DOUBLE)")} AS backend_seconds, {sql_r2(f"total * CAST(100 AS DOUBLE) / (SELECT sum(total) FROM ks{tag})")} AS pct FROM fr{tag} GROUP BY key, total)
+"""
+
+
+def sql_top(key: str, cond: str = "true", order: str = "total", n: int = 10) -> str:
+    return sql_keyed(key, cond) + f"""SELECT key, CAST(NULL AS VARCHAR) AS query_text, {sql_time(str(START))} AS period_start, {sql_time(str(END))} AS period_end, 'raw' AS source, CAST(60 AS BIGINT) AS effective_bucket_secs,
+  avg_aas, peak_aas, p99_aas, backend_seconds, pct FROM k ORDER BY {order} DESC NULLS LAST, total DESC, key NULLS LAST LIMIT {n}"""
+
+
+DIM_SQL = {"wait_event_type": "type", "wait_event": "wait", "query_id": "CAST(query_id AS VARCHAR)", "database": "database"}
+
+
+def _register_top() -> None:
+    for dim, key in DIM_SQL.items():
+        add(f"top_{dim}", sql_top(key))(lambda h, dim=dim: readers.top(h, dim, START, END))
+    add("top_order_peak", sql_top("wait", order="peak_aas", n=3))(lambda h: readers.top(h, "wait_event", START, END, n=3, order_by="peak"))
+    add("top_order_p99", sql_top("wait", order="p99_aas", n=3))(lambda h: readers.top(h, "wait_event", START, END, n=3, order_by="p99"))
+    add("top_query_by_wait", sql_top("CAST(query_id AS VARCHAR)", "type = 'IO'"))(lambda h: readers.top(h, "query_id", START, END, wait_event_type="IO"))
+    add("top_wait_by_query", sql_top("wait", "query_id = 7"))(lambda h: readers.top(h, "wait_event", START, END, query_id=7))
+    one = sql_aas(60, start=START, end=MIDDLE)
+    two = sql_aas(60, start=MIDDLE, end=END)
+    tail = "'raw' AS source_1, 'raw' AS source_2, CAST(60 AS BIGINT) AS effective_bucket_secs_1, CAST(60 AS BIGINT) AS effective_bucket_secs_2"
+    sides = ", ".join(f"{t}.{c} AS {c}_{i}" for c in ("avg_aas", "peak_aas", "p99_aas", "backend_seconds") for i, t in ((1, "a"), (2, "b")))
+    null_pct = "CAST(NULL AS DOUBLE) AS pct_1, CAST(NULL AS DOUBLE) AS pct_2"
+    add("compare_overall", f", a AS ({one}), b AS ({two}) SELECT CAST(NULL AS VARCHAR) AS key, {tail}, {sides}, {null_pct}, {sql_r2('b.avg_aas - a.avg_aas')} AS delta FROM a, b")(lambda h: readers.compare(h, START, MIDDLE, MIDDLE, END))
+    for dim, tag in (("wait_event_type", "type"), ("query_id", "query")):
+        key = DIM_SQL[dim]
+        text = sql_keyed(key, start=START, end=MIDDLE, tag="1") + sql_keyed(key, start=MIDDLE, end=END, tag="2")
+        cols = ", ".join(f"k{i}.{c} AS {c}_{i}" for c in ("avg_aas", "peak_aas", "p99_aas", "backend_seconds", "pct") for i in (1, 2))
+        change = "coalesce(k2.avg_aas, 0) - coalesce(k1.avg_aas, 0)"
+        text += f"""SELECT coalesce(k1.key, k2.key) AS key, {tail}, {cols}, {sql_r2(change)} AS delta FROM k1 FULL JOIN k2 ON k1.key IS NOT DISTINCT FROM k2.key
+ORDER BY abs({change}) DESC, greatest(coalesce(k1.avg_aas, 0), coalesce(k2.avg_aas, 0)) DESC, 1 NULLS LAST LIMIT 10"""
+        add(f"compare_{tag}", text)(lambda h, dim=dim: readers.compare(h, START, MIDDLE, MIDDLE, END, dim))
+    add("samples_newest", """, act AS (SELECT sample_ts, database, count(*) AS n FROM o GROUP BY ALL)
+SELECT o.sample_ts AS sample_time, o.database AS database_name, n AS active_backends, wait AS wait_event, CAST(query_id AS VARCHAR) AS query_id, CAST(NULL AS VARCHAR) AS query_text
+FROM o JOIN act ON act.sample_ts = o.sample_ts AND act.database = o.database ORDER BY o.sample_ts DESC, wait, o.database, o.query_id NULLS LAST LIMIT 100""")(lambda h: texted(readers.samples(h, START, END)))
+
+
+# Rollups
+
+
+def _register_rollups() -> None:
+    waits = lambda d: d.select(as_time(F.col("ts")).alias("t"), "database", "samples", "peak_backends", F.inline("wait_counts"))
+
+    def sql_rollup(size: int) -> str:
+        peak = "max(n)"
+        return f""", b AS (SELECT *, s - s % {size} AS b FROM o), tick AS (SELECT b, database, s, count(*) AS n FROM b GROUP BY ALL),
+w AS (SELECT b, database, state, type, event, count(*) AS cnt FROM b GROUP BY ALL)
+SELECT {sql_time("w.b")} AS t, w.database, samples, peak_backends, state, type, event, cnt FROM w JOIN
+(SELECT b, database, CAST(count(*) AS INTEGER) AS samples, CAST({peak} AS INTEGER) AS peak_backends FROM tick GROUP BY ALL) p ON p.b = w.b AND p.database = w.database"""
+
+    add("rollup_1m", sql_rollup(60), minutes_history)(lambda h: waits(h.minutes))
+    add("rollup_1h", sql_rollup(3600), hours_history)(lambda h: waits(h.hours))
+    add("rollup_1m_queries", f", q AS (SELECT m, database, query_id, count(*) AS cnt FROM o WHERE query_id IS NOT NULL GROUP BY ALL) SELECT {sql_time('m')} AS t, database, query_id, cnt FROM q QUALIFY row_number() OVER (PARTITION BY m, database ORDER BY cnt DESC, query_id) <= 100", minutes_history)(
+        lambda h: h.minutes.select(as_time(F.col("ts")).alias("t"), "database", F.inline("query_counts"))
+    )
+    add("rollup_1h_minute_counts", f"SELECT {sql_time('m - m % 3600')} AS t, database, CAST(m % 3600 // 60 AS INTEGER) AS minute, count(*) AS cnt FROM o GROUP BY m, database", hours_history)(
+        lambda h: h.hours.select(as_time(F.col("ts")).alias("t"), "database", F.posexplode("minute_counts").alias("minute", "cnt")).filter("cnt is not null")
+    )
+    add("rollup_residual", f"""SELECT {sql_time("m")} AS minute, CAST(query_id AS VARCHAR) AS key, count(*) AS cnt FROM o WHERE query_id IS NOT NULL GROUP BY m, query_id
+UNION ALL SELECT {sql_time("m")}, NULL, count(*) FILTER (WHERE query_id IS NULL) FROM o GROUP BY m""", minutes_history)(
+        lambda h: grains.grain_by(h, WHOLE, "rollup_1m", "query_id", Filters()).select(as_time(F.col("ts")).alias("minute"), "key", "cnt")
+    )
+    add("merge_waits", "SELECT database, state, type, event, count(*) AS cnt FROM o GROUP BY ALL", minutes_history)(lambda h: rollup.merge_waits(h.minutes, ["database"]).select("database", F.inline("wait_counts")))
+
+
+# Report and chart
+
+CLASS_SQL = "CASE type " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in CLASSES.items()) + " END"
+SERIES = f""", cm AS (SELECT {CLASS_SQL} AS class, m, count(*) AS cnt FROM o GROUP BY ALL), mins AS (SELECT DISTINCT m FROM o),
+names AS (SELECT unnest([{", ".join(f"'{k}'" for k in CLASSES)}]) AS class),
+parts AS (SELECT names.class, mins.m, CAST(coalesce(cnt, 0) AS DOUBLE) AS aas FROM names CROSS JOIN mins LEFT JOIN cm ON cm.class = names.class AND cm.m = mins.m),
+series AS (SELECT * FROM parts UNION ALL SELECT 'total', m, sum(aas) FROM parts GROUP BY m)
+"""
+STATS = SERIES + """, st AS (SELECT class, avg(aas) AS a, max(aas) AS w, quantile_cont(aas, 0.99) AS p99, quantile_cont(aas, 0.999) AS p999 FROM series GROUP BY class),
+worst AS (SELECT class, min(m) AS worst_m FROM series JOIN st USING (class) WHERE aas = w GROUP BY class)
+"""
+SETS = STATS + """, sets AS (
+  SELECT 'worst1m' AS "set", class, worst_m AS m FROM worst
+  UNION ALL SELECT 'p99', class, m FROM series JOIN st USING (class) WHERE aas >= p99 AND aas > 0
+  UNION ALL SELECT 'p999', class, m FROM series JOIN st USING (class) WHERE aas >= p999 AND aas > 0
+), n AS (SELECT "set", class, count(DISTINCT m) AS n FROM sets GROUP BY ALL)
+"""
+
+
+def _register_report() -> None:
+    series = lambda h: report.class_series(h, WHOLE)
+    add("report_class_series", SERIES + f"SELECT class, {sql_time('m')} AS minute, {sql_r2('aas')} AS aas FROM series", minutes_history)(lambda h: report.series_frame(h, START, END))
+    add("report_percentiles", STATS + f'SELECT class, {sql_r2("a")} AS "avg", {sql_r2("w")} AS worst1m, {sql_r2("p99")} AS p99, {sql_r2("p999")} AS p999 FROM st', minutes_history)(
+        lambda h: report.class_stats(series(h)).select("class", *[r2(F.col(c)).alias(c) for c in ("avg", "worst1m", "p99", "p999")])
+    )
+    add("report_worst_minute", STATS + f"SELECT class, {sql_time('worst_m')} AS minute FROM worst", minutes_history)(lambda h: report.class_stats(series(h)).select("class", as_time(F.col("worst_ts")).alias("minute")))
+
+    def extremes(h):
+        s = series(h)
+        return report.extreme_minutes(s, report.class_stats(s))
+
+    tail = f"""SELECT "set", class, {{0}}, {sql_r2("cnt * CAST(60 AS DOUBLE) / (n.n * 60)", 1)} AS aas, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY "set", class ORDER BY cnt DESC, {{0}}) AS place FROM ev) JOIN n USING ("set", class) WHERE place <= 3"""
+    events = SETS + f', ev AS (SELECT "set", sets.class, event, count(*) AS cnt FROM sets JOIN o ON o.m = sets.m AND {CLASS_SQL} = sets.class WHERE sets.class NOT IN (\'cpu\', \'total\') GROUP BY ALL) '
+    add("report_top_events", events + tail.format("event"), minutes_history)(lambda h: report.top_events(h, WHOLE, extremes(h), 3))
+    ids = SETS + f""", ev AS (SELECT "set", sets.class, query_id, count(*) AS cnt FROM sets JOIN o ON o.m = sets.m AND (({CLASS_SQL} = sets.class AND sets.class <> 'cpu') OR (sets.class = 'total' AND {CLASS_SQL} IS NOT NULL))
+WHERE query_id IS NOT NULL GROUP BY ALL) """
+    add("report_top_queryids", ids + tail.format("query_id"), full_history)(lambda h: report.top_queries(h, WHOLE, extremes(h), 3))
+    add("report_json", None, full_history)(lambda h: report.report_json(h, START, END, vcpus=8))
+
+    cells = f", bk AS (SELECT m - m % 3600 AS bs, wait AS event, count(*) AS cnt FROM o GROUP BY ALL)"  # noqa: F541
+    add("chart_buckets", cells + f" SELECT {sql_time('bs')} AS bucket_start, event, cnt FROM bk")(lambda h: render.chart_buckets(h, START, END, 3600)[0].select(as_time(F.col("bstart")).alias("bucket_start"), "event", "cnt"))
+    add("chart_series", cells + """, tot AS (SELECT event, sum(cnt) AS tot, row_number() OVER (ORDER BY sum(cnt) DESC, event) AS place FROM bk GROUP BY event),
+lead AS (SELECT DISTINCT event FROM (SELECT event, row_number() OVER (PARTITION BY bs ORDER BY cnt DESC, event) AS r FROM bk) WHERE r = 1)
+SELECT event, CAST(tot AS BIGINT) AS tot, CAST(place AS INTEGER) AS place FROM tot WHERE place <= 2 OR event IN (SELECT event FROM lead)""")(lambda h: render.chart_series(render.chart_buckets(h, START, END, 3600)[0], 2))
+    add("chart")(lambda h: render.chart(h, START, END, 3600))
+    add("summary")(lambda h: render.summary(h, START, END))
+    add("status", None, full_history)(render.status)
+
+
+# 1.x readers and the codec
+
+
+def _register_legacy() -> None:
+    shares = lambda key, cond, order, n="": f", c AS (SELECT {key} AS key, count(*) AS samples FROM o WHERE {cond} GROUP BY 1) SELECT key AS {order}, samples, {sql_r2('samples * CAST(100 AS DOUBLE) / (SELECT sum(samples) FROM c)')} AS pct FROM c {n}"
+    plain = ["wait_event", "samples", "pct"]
+    add("legacy_top_waits_other", f""", c AS (SELECT wait, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, wait) AS r, count(*) OVER () AS kinds FROM o GROUP BY wait)
+SELECT CASE WHEN r < 3 THEN wait ELSE 'Other' END AS wait_event, CAST(sum(n) AS BIGINT) AS samples, {sql_r2("sum(n) * CAST(100 AS DOUBLE) / (SELECT sum(n) FROM c)")} AS pct FROM c GROUP BY 1""")(lambda h: legacy.top_waits(h, START, END, 3).select(*plain))
+    add("legacy_histogram", shares("wait", "true", "wait_event"))(lambda h: legacy.histogram(h, START, END, 100).select(*plain))
+    add("legacy_wait_timeline", f"SELECT {sql_time('m - m % 3600')} AS bucket_start, wait AS wait_event, count(*) AS samples FROM o GROUP BY ALL")(lambda h: legacy.wait_timeline(h, START, END, "1 hour"))
+    add("legacy_top_queries", shares("query_id", "query_id IS NOT NULL", "query_id", "ORDER BY samples DESC, key LIMIT 10"))(lambda h: legacy.top_queries(h, START, END))
+    add("legacy_top_queries_with_text", shares("query_id", "query_id IS NOT NULL", "query_id", "ORDER BY samples DESC, key LIMIT 10"))(lambda h: legacy.top_queries_with_text(h, START, END).select("query_id", "samples", "pct"))
+    add("legacy_top_by_type", shares("type", "true", "wait_event_type"))(lambda h: legacy.top_by_type(h, START, END).select("wait_event_type", "samples", "pct"))
+    add("legacy_query_waits", shares("wait", "query_id = 7", "wait_event"))(lambda h: legacy.query_waits(h, 7, START, END).select(*plain))
+    add("legacy_event_queries", shares("query_id", "type = 'IO' OR event = 'IO'", "query_id", "ORDER BY samples DESC, key NULLS LAST LIMIT 10").replace("SELECT key AS", "SELECT CAST(key AS VARCHAR) AS"))(lambda h: texted(legacy.event_queries(h, "IO", START, END)).select("query_id", "samples", "pct"))
+    add("legacy_samples_by_database", "SELECT database AS database_name, count(DISTINCT s) AS samples, count(*) AS total_backends FROM o GROUP BY 1")(lambda h: legacy.samples_by_database(h, START, END))
+    add("legacy_minute_waits", f"SELECT {sql_time('m')} AS minute, wait AS wait_event, count(*) AS samples FROM o GROUP BY m, wait QUALIFY row_number() OVER (PARTITION BY m ORDER BY count(*) DESC, wait) <= 3", minutes_history)(lambda h: legacy.minute_waits(h, START, END, 3))
+    add("legacy_hourly_queries", f""", q AS (SELECT m - m % 3600 AS b, query_id, count(*) AS n FROM o WHERE query_id IS NOT NULL GROUP BY ALL), t AS (
+  SELECT b, max(c) AS c FROM (SELECT m - m % 3600 AS b, database, count(DISTINCT s) AS c FROM o GROUP BY ALL) GROUP BY b)
+SELECT {sql_time("b")} AS hour, query_id, {sql_r2("n * CAST(60 AS DOUBLE)")} AS backend_seconds, {sql_r2("n / CAST(c AS DOUBLE)")} AS avg_backends FROM q JOIN t USING (b)
+QUALIFY row_number() OVER (PARTITION BY b ORDER BY n DESC, query_id) <= 3""", hours_history)(lambda h: legacy.hourly_queries(h, START, END, 3))
+    add("daily_peak_backends", f"SELECT {sql_time('s - s % 86400')} AS day, database, CAST(max(n) AS INTEGER) AS peak_backends FROM (SELECT s, database, count(*) AS n FROM o GROUP BY ALL) GROUP BY ALL", hours_history)(lambda h: legacy.daily_peak_backends(h, START, END))
+    add("legacy_activity_summary")(lambda h: legacy.activity_summary(h, START, END))
+    add("legacy_timeline_chart")(lambda h: legacy.timeline_chart(h, START, END, "1 day"))
+    add("legacy_samples", None)(lambda h: legacy.samples(h, START, END, 50))
+
+    def packed(h):
+        waits, queries = codec.build_dictionaries(h.rows())
+        return codec.encode(h.rows(), waits, queries), waits, queries
+
+    capped = ", known AS (SELECT query_id AS q FROM o WHERE query_id IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 50000) "
+    add("codec_round_trip", capped + "SELECT sample_ts, database, wait AS wait_event, CAST(q AS VARCHAR) AS query_id, CAST(1 AS BIGINT) AS count FROM o LEFT JOIN known ON q = query_id")(lambda h: texted(codec.decode(*packed(h))))
+    add("codec_valid", "SELECT sample_ts, database, CAST(count(*) AS INTEGER) AS active_count, true AS valid FROM o GROUP BY ALL")(lambda h: packed(h)[0].select("sample_ts", "database", "active_count", codec.is_valid(F.col("data")).alias("valid")))
+
+
+for _register in (_register_filters, _register_grains, _register_aas, _register_top, _register_rollups, _register_report, _register_legacy):
+    _register()
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return readers.top(history(spark, sf_dir), "wait_event_type", START, END)
