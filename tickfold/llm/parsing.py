@@ -268,7 +268,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = parsed(docs, id_col, text_col, length, reach)
     anchors = base.select(*KEY, F.posexplode("keys").alias("place", "key"))
-    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "parse-shared")  # stored, so that the join may split a hot digest
     candidates = anchors.join(shared, "key", "left_semi").groupBy(*KEY).agg(F.collect_set("place").alias("picked"))
     found = stored(contexts(docs, stored(candidates, "parse-candidates"), id_col, text_col, length, reach), "parse-contexts")
     windows = stored(ordered(found, length), "parse-windows")
