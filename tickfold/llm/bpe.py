@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 MAX_VOCAB_BYTES = 64 << 20
 CACHE_ENTRIES = 400_000
@@ -130,6 +130,7 @@ class BpeCodec:
 
 
 def load(spark: SparkSession, path: str):
+    bounded_batches(spark)
     with open(path, "rb") as f:
         data = f.read(MAX_VOCAB_BYTES + 1)
     if len(data) > MAX_VOCAB_BYTES:

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows in a batch that goes through Python.
+BATCH_ROWS = 256
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,6 +34,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of at most ``BATCH_ROWS``: batches are cut by rows and not by bytes, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared scratch folder and return the table that was written; this cuts the lineage."""
     spark = df.sparkSession
@@ -46,17 +56,10 @@ def ascii_lower(col):
     return F.when(plain, F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
-def row_key(doc_id="doc_id", text="text") -> list:
-    """Columns that tell rows apart by content, null ids and repeated ids included: rows equal in all of them are copies and get equal results."""
-    return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_h"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("text_n")]
-
-
-def same_key(a: DataFrame, b: DataFrame, names: list[str]):
-    cond = None
-    for n in names:
-        one = a[n].eqNullSafe(b[n])
-        cond = one if cond is None else cond & one
-    return cond
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs that gone (doc_id, text_h: hash of the text) does not name; null ids match each other."""
+    gone = stored(gone, "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_h"]), "left_anti")
 
 
 def with_class_winner(keyed: DataFrame, keys: list[str], id_col: str = "doc_id", salts: int = 64) -> DataFrame:

@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import ascii_lower, bounded_batches, read_table, stored, without
 
-KEYED = "doc_id long, norm string, digest string"
-SHORT = "doc_id long, digest string"
+KEYED = "doc_id long, text_h long, norm string, digest string"
+SHORT = "doc_id long, text_h long, digest string"
 
 
 def sha256_hex(data: bytes) -> str:
@@ -36,19 +36,19 @@ def sha256_hex(data: bytes) -> str:
 def _normaliser(digest, with_text: bool):
     def run(batches):
         for b in batches:
-            norm = pc.ascii_lower(pc.fill_null(b.column(1).cast(pa.large_string()), ""))
+            norm = pc.ascii_lower(pc.fill_null(b.column(2).cast(pa.large_string()), ""))
             raw = norm.cast(pa.large_binary())
             digests = pa.array([digest(memoryview(x.as_buffer())) if len(x.as_buffer() or b"") else digest(b"") for x in raw], pa.string())
-            cols, names = [b.column(0), digests], ["doc_id", "digest"]
+            cols, names = [b.column(0), b.column(1), digests], ["doc_id", "text_h", "digest"]
             if with_text:
-                cols, names = [b.column(0), norm.cast(pa.string()), digests], ["doc_id", "norm", "digest"]
+                cols, names = [b.column(0), b.column(1), norm.cast(pa.string()), digests], ["doc_id", "text_h", "norm", "digest"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, digest=sha256_hex) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_h (hash of the text as it is).
 
     Of rows with equal texts the one with the largest id stays. Null texts count
     as empty; empty texts form a class like any other. Null ids rank below all
@@ -57,7 +57,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked kept with it. Other columns are ignored; an empty table gives none.
     ``digest`` maps bytes to a string and may collide: texts are compared too.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_h"), F.col(text_col).alias("text"))
     keyed = base.mapInArrow(_normaliser(digest, True), KEYED)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     part = (
@@ -76,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = texts.filter("texts > 1").select("digest")
     single = whole.join(shared, "digest", "left_anti").select("digest", "keep_id", "group_size", F.explode("salt_set").alias("salt"))
     rows = base.mapInArrow(_normaliser(digest, False), SHORT).withColumn("salt", salt)
-    out = rows.join(single, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", "digest")
+    out = rows.join(single, ["digest", "salt"]).select("doc_id", "text_h", "keep_id", "group_size", "digest")
     if not shared.isEmpty():
         # A digest with several texts: the text itself decides.
         hit = keyed.join(shared, "digest", "left_semi")
@@ -84,20 +85,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             hit.join(
                 hit.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
                 ["digest", "norm"],
-            ).select("doc_id", "keep_id", "group_size", "digest")
+            ).select("doc_id", "text_h", "keep_id", "group_size", "digest")
         )
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "text_h")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup(read_table(spark, sf_dir, "documents")).drop("text_h")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    ids = exact_dedup(docs).filter("not kept").select("doc_id", "keep_id")
-    gone = stored(ids.select("doc_id").distinct(), "exact-dropped")
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs that stay, with all their columns: one of each class, also where the row that stays is repeated."""
+    found = stored(exact_dedup(docs), "exact")
+    gone = found.filter("not kept").select("doc_id", "text_h").distinct()
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    left = without(docs, gone)
+    if again.isEmpty():
+        return left
+    again = stored(again, "exact-repeated")
+    hit = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    rest = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
+    lowered = [F.col("doc_id"), F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)]
+    first = hit.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(lowered)]).agg(F.first(F.struct(*[hit[c] for c in hit.columns])).alias("r"))
+    return rest.unionByName(first.select("r.*"))
 
 
 SQL = {

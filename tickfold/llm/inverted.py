@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, read_table, stored
+from .common import UPPER, ascii_lower, read_table, stored, without
 
 WINDOW = 10
 SEEDS = 2
@@ -69,7 +69,7 @@ def windows(wanted: DataFrame, index: DataFrame, size: int = WINDOW, n: int = SE
     begins = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     each = wanted.select("no", "item", F.explode(begins).alias("begin"), "w").select("no", "item", "begin", F.slice("w", F.col("begin") + 1, F.lit(size)).alias("terms"))
     places = each.select("no", "begin", F.posexplode("terms").alias("at", "term"))
-    rated = places.join(df, "term", "left").select("no", "begin", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", (F.col("begin") + F.col("at")).alias("off")).alias("p"))
+    rated = places.join(maybe_broadcast(df), "term", "left").select("no", "begin", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", (F.col("begin") + F.col("at")).alias("off")).alias("p"))
     rarest = rated.groupBy("no", "begin").agg(F.slice(F.array_sort(F.collect_list("p")), 1, n).alias("p")).filter(F.col("p")[0]["df"] > 0)
     return each.join(rarest, ["no", "begin"]).select("no", "item", "begin", "terms", F.col("p.off").alias("offs"), F.col("p.term").alias("seed_terms"))
 
@@ -106,7 +106,7 @@ def covered(spans):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_h (hash of the text).
 
     A null or empty text has no words and no hits; an item without words has no
     windows. Null ids are kept; rows equal in id and text get equal results; a
@@ -115,24 +115,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     """
     base = docs.select(uid(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = matches(docs, items, size, id_col, text_col)
-    split = base.join(found, "uid", "left").select("doc_id", words(F.col("text")).alias("raw"), "found")
+    split = base.join(found, "uid", "left").select("doc_id", F.xxhash64("text").alias("text_h"), words(F.col("text")).alias("raw"), "found")
     same = lambda m: F.transform(F.slice("raw", m["start"] + 1, m["len"]), lowered) == m["terms"]
-    held = split.select("doc_id", F.size("raw").cast("long").alias("n_words"), F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), same).alias("hits"))
+    held = split.select("doc_id", "text_h", F.size("raw").cast("long").alias("n_words"), F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), same).alias("hits"))
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda m: m["item"])))
     spans = F.transform("hits", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len")))
-    out = held.select("doc_id", "n_words", covered(spans).cast("long").alias("n_hit"), names.alias("names"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    out = held.select("doc_id", "text_h", "n_words", covered(spans).cast("long").alias("n_hit"), names.alias("names"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_h")
 
 
 def op10_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_h")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without any match, with all their columns."""
-    hit = decontaminate(docs, items).filter("contaminated").select("doc_id").distinct()
-    gone = stored(hit, "contaminated")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return without(docs, decontaminate(docs, items).filter("contaminated").select("doc_id", "text_h").distinct())
 
 
 SQL = {

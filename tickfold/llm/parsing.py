@@ -12,8 +12,8 @@ starts elsewhere, in the same text or another.
    it on. If no other trigger of the corpus is followed by the same bytes, none
    of its windows recurs; the digests of these bytes are counted over the corpus.
 3. Corpus order. For the triggers left, phrase end and following bytes go to the
-   task that has their digest, equal contexts combined into one with a count
-   before they move. There the suffixes of the phrases (the dictionary) and the
+   task that has their digest; of equal contexts a task sends two at most, enough
+   to know that they recur. There the suffixes of the phrases (the dictionary) and the
    following bytes (the parse) are each sorted once, with the lengths that
    neighbours have in common. For each number f of bytes taken from the phrase,
    windows are equal exactly if both their f-byte phrase suffixes and their
@@ -36,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import bounded_batches, read_table, stored
 
 LENGTH = 400
 REACH = 200
 GRAM = 16
 #: Contexts that one round of sorting takes, more only if they share a digest.
-SORT_ROWS = 30_000
+SORT_ROWS = 20_000
+#: Digests of contexts that a task remembers.
+SEEN = 200_000
 KEY = ["doc_id", "text_h", "text_n"]
 
 
@@ -124,14 +126,15 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, length: int, reach: int)
     def run(batches):
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            keys, sha = [], []
+            keys, sha, size = [], [], []
             for x in b.column(1):
                 text = x.as_py() or b""
                 at = triggers(np.frombuffer(text, "u1"), length, reach)[0].tolist()
                 view = memoryview(text)
+                size.append(len(text))
                 keys.append(np.array([digest(view[a : a + body]) for a in at], "u8").view("i8"))
                 sha.append(hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x or b"") for x in b.column(1).to_pylist()], pa.int64()), pa.array(sha, pa.string()), b.column(2), b.column(3), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "sha", "text_h", "text_n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sha, pa.string()), b.column(2), b.column(3), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "sha", "text_h", "text_n", "keys"])
 
     picked = with_key(docs, id_col, text_col)
     return stored(picked.mapInArrow(run, "doc_id long, n_bytes long, sha string, text_h long, text_n int, keys array<long>"), "parse")
@@ -150,18 +153,19 @@ def join_key(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(renamed, cond, how).drop(*[f"{c}__" for c in KEY])
 
 
-CONTEXT = "doc_id long, text_h long, text_n int, trig int, key long, ctx long, ctx2 long, body binary, lead int, least int, n long"
+CONTEXT = "doc_id long, text_h long, text_n int, trig int, key long, ctx long, ctx2 long, body binary, lead int, least int"
 
 
 def contexts(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str, length: int, reach: int) -> DataFrame:
-    """Of each trigger that candidates (row key, picked: places of triggers among the row's) name, one row with its context's digest; in a task the first of equal contexts brings the bytes and their count, at its end."""
+    """Of each trigger that candidates (row key, picked: places of triggers among the row's) name, one row with its context's digest. In a task the first two of equal contexts bring the bytes: whether there is another is all that counts."""
     body = length - reach + 1
 
     def run(batches):
+        seen: dict[bytes, int] = {}
         for b in batches:
             out = {n: [] for n in ("row", "trig", "key", "c1", "c2", "body", "lead", "least")}
-            seen: dict[bytes, int] = {}
-            n: list[int] = []
+            if len(seen) > SEEN:
+                seen.clear()  # equal contexts then meet later, in the sort
             for r in range(b.num_rows):
                 text = b.column(1)[r].as_py()
                 at, first, last = triggers(np.frombuffer(text, "u1"), length, reach)
@@ -170,7 +174,7 @@ def contexts(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str,
                     a, s, e = int(at[i]), int(first[i]), int(last[i])
                     whole = view[s : e + length]
                     mark = xxhash.xxh3_128_digest(whole) + bytes([a - s])
-                    place = seen.get(mark)
+                    times = seen[mark] = seen.get(mark, 0) + 1
                     out["row"].append(r)
                     out["trig"].append(a)
                     out["key"].append(xxhash.xxh64_intdigest(view[a : a + body]))
@@ -179,18 +183,11 @@ def contexts(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str,
                     out["c2"].append(int.from_bytes(c[8:], "little", signed=True))
                     out["lead"].append(a - s)
                     out["least"].append(a - e)
-                    if place is None:
-                        seen[mark] = len(n)
-                        out["body"].append(bytes(whole))
-                        n.append(1)
-                    else:
-                        out["body"].append(None)
-                        n[place] += 1
-                        n.append(0)
+                    out["body"].append(bytes(whole) if times <= 2 else None)
             take = pa.array(out["row"], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(out["trig"], pa.int32()), pa.array(np.array(out["key"], "u8").view("i8")), pa.array(out["c1"], pa.int64()), pa.array(out["c2"], pa.int64()), pa.array(out["body"], pa.binary()), pa.array(out["lead"], pa.int32()), pa.array(out["least"], pa.int32()), pa.array(n, pa.int64())],
-                ["doc_id", "text_h", "text_n", "trig", "key", "ctx", "ctx2", "body", "lead", "least", "n"],
+                [b.column(0).take(take), b.column(2).take(take), b.column(3).take(take), pa.array(out["trig"], pa.int32()), pa.array(np.array(out["key"], "u8").view("i8")), pa.array(out["c1"], pa.int64()), pa.array(out["c2"], pa.int64()), pa.array(out["body"], pa.binary()), pa.array(out["lead"], pa.int32()), pa.array(out["least"], pa.int32())],
+                ["doc_id", "text_h", "text_n", "trig", "key", "ctx", "ctx2", "body", "lead", "least"],
             )
 
     rows = join_key(with_key(docs, id_col, text_col), candidates, "inner").select("doc_id", "text", "text_h", "text_n", "picked")
@@ -206,11 +203,11 @@ def ordered(found: DataFrame, length: int) -> DataFrame:
         def sort(table: pa.Table):
             # equal contexts of several tasks become one
             sums: dict[tuple[int, int], list] = {}
-            for key, c1, c2, body, lead, least, n in zip(*(table.column(c).to_pylist() for c in ("key", "ctx", "ctx2", "body", "lead", "least", "n")), strict=True):
+            for key, c1, c2, body, lead, least in zip(*(table.column(c).to_pylist() for c in ("key", "ctx", "ctx2", "body", "lead", "least")), strict=True):
                 if (got := sums.get((c1, c2))) is None:
-                    sums[c1, c2] = [key, body, lead, least, n]
+                    sums[c1, c2] = [key, body, lead, least, 1]
                 else:
-                    got[4] += n
+                    got[4] += 1
             rows = list(sums.items())
             keys, group = np.unique(np.array([v[0] for _, v in rows], "i8"), return_inverse=True)
             right = np.zeros((len(rows), length), "u1")
@@ -238,7 +235,7 @@ def ordered(found: DataFrame, length: int) -> DataFrame:
         if size:
             yield sort(pa.Table.from_batches(held))
 
-    bodies = found.filter("body is not null").select("key", "ctx", "ctx2", "body", "lead", "least", "n")
+    bodies = found.filter("body is not null").select("key", "ctx", "ctx2", "body", "lead", "least")
     parts = bodies.repartition("key").sortWithinPartitions("key")
     return parts.mapInArrow(run, "ctx long, ctx2 long, starts array<int>")
 
@@ -266,6 +263,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     too. Ids may be null or repeated: rows equal in id and text get equal
     results. Other columns are ignored; an empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     base = parsed(docs, id_col, text_col, length, reach)
     anchors = base.select(*KEY, F.posexplode("keys").alias("place", "key"))
     shared = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "parse-shared")  # stored, so that the join may split a hot digest

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import global_rank, read_table, stored
+from .common import bounded_batches, global_rank, read_table, stored, without
 
 #: Labelled documents to fit on, at most.
 MAX_LABELLED = 30_000
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labelled
     not toxic, clean the rest; rows with a null in any of them are not used. The
     class models are smoothed towards the rates over all documents.
     """
+    bounded_batches(docs.sparkSession)
     whole = labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"])
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     picked = whole.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -201,9 +202,7 @@ def op8_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The drawn rows of docs, with all their columns; rows equal in id and text are drawn or rejected together."""
-    gone = stored(resample(docs, labels).filter("not kept").select("doc_id", "h").distinct(), "resample-rejected")
-    named = docs.withColumn("h__", F.xxhash64("text"))
-    return named.join(gone, named["doc_id"].eqNullSafe(gone["doc_id"]) & (named["h__"] == gone["h"]), "left_anti").drop("h__")
+    return without(docs, resample(docs, labels).filter("not kept").select("doc_id", F.col("h").alias("text_h")).distinct())
 
 
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import Dfa
-from .common import read_table
+from .common import bounded_batches, read_table
 
 #: Bytes of text that are scanned as one array.
 BLOCK_BYTES = 4 << 20
@@ -152,6 +152,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
     scanner = Scanner(rules)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import bounded_batches, read_table, stored
 
 RADIUS = 2
 SEED = 42
@@ -57,6 +57,7 @@ def fingerprint(text: bytes, width: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) for each row. Null texts count as empty: fingerprint zero."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -177,6 +178,7 @@ def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_fingerprints(x.as_py() or b"", prints) for x in b.column(1)], pa.list_(pa.int64()))], ["doc_id", "fps"])
 
+    bounded_batches(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
     marked = stored(texts.mapInArrow(mark, "doc_id long, fps array<long>"), "words-simhash")

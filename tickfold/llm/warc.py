@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_dir, with_class_winner
+from .common import bounded_batches, read_table, scratch_dir, with_class_winner
 
 #: Fixed values of the formats.
 DICT_FRAME = 0x184D2A5D
@@ -258,6 +258,7 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
     no archive and gives no rows.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     rows = with_payload(pages)
     classes = with_class_winner(rows.select("page_id", "content", "payload_digest"), ["content", "payload_digest"], "page_id")
     keep = classes.groupBy(F.col("page_id").alias("id"), F.col("content").alias("c")).agg(F.max("keep_id").alias("keep_id"))
