@@ -137,6 +137,20 @@ def rotate(observations: DataFrame, minutes: DataFrame, config: Config, as_of) -
     return observations.filter(F.col("sample_ts") >= literal_time(keep_from)), replace(config, current_slot=(config.current_slot + 1) % config.num_partitions, rotated_at=now)
 
 
+def backfill_minutes(hours: DataFrame, minutes: DataFrame) -> DataFrame:
+    """Hours without valid minute detail get it from stored minutes, but only where these add up to the hour's total."""
+    from .grains import minutes_valid
+
+    total = F.aggregate("wait_counts", F.lit(0).cast("long"), lambda a, p: a + p["cnt"])
+    rows = minutes.withColumn("hour", floor_col(F.col("ts"), HOUR))
+    found = rows.groupBy(F.col("hour").alias("ts"), "database").agg(F.map_from_entries(F.collect_list(F.struct(((F.col("ts") - F.col("hour")) / MINUTE).cast("int").alias("i"), total.alias("n")))).alias("by_minute"))
+    rebuilt = F.when(F.col("by_minute").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.try_element_at("by_minute", i)))
+    both = _joined(hours, found, ["ts", "database"]).withColumn("rebuilt", rebuilt)
+    keep = minutes_valid(F.col("minute_counts"), F.col("wait_counts"))
+    better = minutes_valid(F.col("rebuilt"), F.col("wait_counts"))
+    return both.withColumn("minute_counts", F.when(keep | ~better, F.col("minute_counts")).otherwise(F.col("rebuilt"))).drop("by_minute", "rebuilt")
+
+
 def rebuild_partitions(config: Config, num_partitions: int, confirm: str) -> Config:
     """A ring of another size; raw rows are given up, rollups stay. Asks for 'yes'."""
     if confirm != "yes":

@@ -126,6 +126,13 @@ class Store:
                     gone.append(f"{name}/{m[1]}")
         return sorted(gone)
 
+    def uninstall(self, confirm: str) -> None:
+        """Remove all that is stored. Asks for 'yes'."""
+        if confirm != "yes":
+            raise ActivityError("uninstall removes the history; confirm with 'yes'")
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        base.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(base, True)
+
     @staticmethod
     def _day_end(day: str) -> int:
         from datetime import datetime, timezone
