@@ -12,7 +12,7 @@ and taking the k largest draws k documents without replacement, in proportion to
 the tempered weights. k is the number of documents whose
 weight is at least -MARGIN.
 
-The models are arrays of ``buckets`` counts, whatever the corpus; tasks sum them
+The models are arrays of ``BUCKETS`` counts, whatever the corpus; tasks sum them
 locally, the sums are added up by bucket, and only the arrays travel. Labelled
 rows are a bounded sample (``MAX_LABELLED`` ids, the least by hash); the
 background counts, the weights and the draw cover all documents. The draw ranks
@@ -31,12 +31,14 @@ from .common import bounded_batches, global_rank, read_table, stored, without
 
 #: Labelled documents to fit on, at most.
 MAX_LABELLED = 30_000
-BUCKETS = 1 << 18
+#: Buckets of a table: for words, beginnings and marks, and (apart, since there are far more of them) for pairs. Both are powers of two.
+WORD_BUCKETS, PAIR_BUCKETS = 1 << 17, 1 << 16
+BUCKETS = 2 * (WORD_BUCKETS + PAIR_BUCKETS)
 TEMPERATURE = 0.1
 SEED = 42
 SMOOTHING = 0.5
 #: Losing a clean text costs e^MARGIN times as much as keeping a bad one.
-MARGIN = 1.5
+MARGIN = 2.0
 SIGNIFICANT = 7.0
 #: Texts of a class that an n-gram must occur in to count.
 LEAST_TEXTS = 4
@@ -47,7 +49,7 @@ LEAST_RATIO = 2.5
 #: Lengths, in bytes, of the word beginnings that count as n-grams too, so that new forms of known stems are known.
 STEMS = (4, 5, 6)
 #: Shares of words equal to the one before from which a text counts as repetitive.
-REPEATS = (0.1, 0.3)
+REPEATS = (0.1, 0.3, 0.6)
 CACHE_ENTRIES = 500_000
 BLOCK_WORDS = 1 << 16
 #: ASCII marks and digits part words; marks themselves form a second stream of tokens.
@@ -56,10 +58,10 @@ LETTERS = bytes(b for b in range(256) if chr(b).isalnum() and b < 128 or b >= 12
 
 
 class Grams:
-    """The n-grams of a text: words, pairs of neighbouring words, marks and their pairs, beginnings of words, and the text's shape. Each is hashed to a bucket in the lower half and, independently, to one in the upper; two n-grams that share both are rare. ``buckets`` is a power of two."""
+    """The n-grams of a text: words, pairs of neighbouring words, marks and their pairs, beginnings of words, and the text's shape. Each is hashed to a bucket of two tables independently; n-grams that share both are rare."""
 
-    def __init__(self, buckets: int):
-        self.half, self.known = buckets // 2, {}
+    def __init__(self):
+        self.known = {}
         self.table, self.used = np.zeros((1 << 16, 1 + len(STEMS)), "u8"), 0
 
     def number(self, word: bytes) -> int:
@@ -78,36 +80,42 @@ class Grams:
         return ((h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket numbers in either half, repeats included."""
+        """Bucket numbers in either table, repeats included."""
         if self.used > CACHE_ENTRIES:
             self.known.clear()
             self.used = 0
-        parts, n, same = [], 0, 0
+        parts, pairs, n, same = [], [], 0, 0
         split = text.translate(WORDS).split()
         for at in range(0, len(split), BLOCK_WORDS):
             ids = [*map(self.number, split[at : at + BLOCK_WORDS + 1])]  # one word over, for the pair across
             rows = self.table[ids]
             h = rows[:, 0]
-            parts += [rows.ravel(), self.pairs(h)]
+            parts.append(rows.ravel())
+            pairs.append(self.pairs(h))
             same += int(np.count_nonzero(h[1:] == h[:-1]))
             n += len(split[at : at + BLOCK_WORDS])
         marks = np.array([hash_of(b"\0" + m) for m in text.translate(None, LETTERS).split()], "u8")
         often = sum(same >= share * max(1, n) for share in REPEATS)
-        shape = np.array([hash_of(b"\1%d" % often), hash_of(b"\2%d" % n.bit_length())], "u8")
-        h = np.concatenate([*parts, marks, self.pairs(marks), shape])
-        low = np.uint64(self.half - 1)
-        return (h & low).astype("i4"), ((h >> np.uint64(29)) & low).astype("i4") + np.int32(self.half)
+        shape = np.array([hash_of(b"\1%d:%d" % (often, min(n.bit_length(), 5))), hash_of(b"\2%d" % n.bit_length())], "u8")
+        low, high = zip(places(np.concatenate([*parts, marks, self.pairs(marks), shape]), 0, WORD_BUCKETS), places(np.concatenate([*pairs, shape[:0]]), 2 * WORD_BUCKETS, PAIR_BUCKETS), strict=True)
+        return np.concatenate(low), np.concatenate(high)
+
+
+def places(h: np.ndarray, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the hashes in the two tables that begin at base."""
+    low = np.uint64(size - 1)
+    return (h & low).astype("i4") + np.int32(base), ((h >> np.uint64(29)) & low).astype("i4") + np.int32(base + size)
 
 
 def hash_of(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, SEED)
 
 
-def histograms(texts: DataFrame, buckets: int) -> DataFrame:
+def histograms(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(kind, bucket, n): in how many texts (kind int, text) each n-gram bucket occurs, summed in each task first; bucket -1 counts the texts."""
 
     def run(batches):
-        grams, sums, docs_of = Grams(buckets), {}, {}
+        grams, sums, docs_of = Grams(), {}, {}
         for b in batches:
             for kind, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 if kind not in sums:
@@ -123,8 +131,8 @@ def histograms(texts: DataFrame, buckets: int) -> DataFrame:
     return parts.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(ratio[buckets, 2], odds[2]): the log ratios of junk and of toxic to clean, by n-gram and by class.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio[BUCKETS, 2], odds[2]): the log ratios of junk and of toxic to clean, by n-gram and by class.
 
     Labels: doc_id, quality, toxic. Toxic is toxic = 1, junk is quality = 0 and
     not toxic, clean the rest; rows with a null in any of them are not used. The
@@ -135,10 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labelled
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     picked = whole.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     marked = docs.select("doc_id", "text").join(F.broadcast(stored(picked, "labels")), "doc_id", "left")
-    found = histograms(marked.select(F.coalesce("kind", F.lit(3)).alias("kind"), "text"), buckets)
+    found = histograms(marked.select(F.coalesce("kind", F.lit(3)).alias("kind"), "text"))
     wide = found.groupBy("bucket").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
-    counts = np.zeros((4, buckets + 1))
-    # A bucket that few labelled texts of each class have cannot be significant. The rest are at most ``buckets`` rows.
+    counts = np.zeros((4, BUCKETS + 1))
+    # A bucket that few labelled texts of each class have cannot be significant. The rest are at most ``BUCKETS`` rows.
     for r in wide.filter(F.greatest("n0", "n1", "n2") >= LEAST_TEXTS).collect():
         counts[:, r["bucket"]] = r[1:]
     texts, counts = counts[:, -1:], counts[:, :-1]
@@ -160,12 +168,12 @@ def evidence(ratio: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndar
     return np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0).sum(axis=0, dtype="f8")
 
 
-def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
+def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray) -> DataFrame:
     """(doc_id, log_weight, noise): the log ratio, and a Gumbel variate that the id and the text decide."""
     table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(ratio.astype("f4")))
 
     def run(batches):
-        grams, known = Grams(buckets), table.value
+        grams, known = Grams(), table.value
         live = known.any(axis=1)
         for b in batches:
             weight = [-float((evidence(known, live, *grams.of(x.as_py() or b"")) + odds).max()) for x in b.column(2).cast(pa.binary())]
@@ -176,7 +184,7 @@ def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray, buckets: int = B
     return rows.withColumn("noise", -F.log(-F.log(unit)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, temperature: float = TEMPERATURE, k: int | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, k: int | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of docs: doc_id, h (hash of the text), log_weight, gumbel_key, rank (0 best), kept.
 
     kept marks the k largest keys; without k, as many as have log_weight >= -MARGIN. A
@@ -186,7 +194,7 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tempera
     side. Without labels every weight is that of equal models and all rows are
     kept. An empty table gives none; other columns are ignored.
     """
-    scored = stored(score(docs, *fit(docs, labels, buckets, max_labelled), buckets), "resample-scores")
+    scored = stored(score(docs, *fit(docs, labels, max_labelled)), "resample-scores")
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") / temperature + F.col("noise")).drop("noise")
     if k is None:
         k = scored.filter(F.col("log_weight") >= -MARGIN).count()
