@@ -49,19 +49,20 @@ def hour_details(hours: DataFrame, w: Window) -> DataFrame:
     return mins.unionByName(flat).filter((F.col("ts") >= w.start) & (F.col("ts") < w.end))
 
 
-def grain_counts(history, w: Window, source: str, f: Filters) -> DataFrame:
-    """(ts, cnt): one row per grain that the source has in the window."""
+def grain_counts(history, w: Window, source: str, f: Filters, size: int = MINUTE) -> DataFrame:
+    """(ts, cnt): one row per grain that the source has in the window, or per stretch of ``size`` seconds that holds any (one aggregation either way)."""
+    ts = F.col("ts") if size == MINUTE and source != "raw" else floor_col(F.col("ts"), size)
     if source == "raw":
         rows = _database(history.raw(w.start, w.end), f)
         hit = wait_matches(F.col("wait_event_type"), F.col("wait_event"), f)
         if f.query_id is not None:
             hit = hit & F.col("query_id").eqNullSafe(F.lit(f.query_id))
-        return rows.groupBy(floor_col(F.col("ts"), MINUTE).alias("ts")).agg(F.count_if(hit).alias("cnt"))
+        return rows.groupBy(ts.alias("ts")).agg(F.count_if(hit).alias("cnt"))
     if source == "rollup_1h_minutes":
-        return _database(hour_details(history.hours, w), f).groupBy("ts").agg(F.sum("cnt").alias("cnt"))
+        return _database(hour_details(history.hours, w), f).groupBy(ts.alias("ts")).agg(F.sum("cnt").alias("cnt"))
     if source in ("rollup_1m", "rollup_1h"):
         rows = _database(history.minutes if source == "rollup_1m" else history.hours, f).filter((F.col("ts") >= w.start) & (F.col("ts") < w.end))
-        return rows.groupBy("ts").agg(F.sum(_pair_sum(F.col("wait_counts"), f)).alias("cnt"))
+        return rows.groupBy(ts.alias("ts")).agg(F.sum(_pair_sum(F.col("wait_counts"), f)).alias("cnt"))
     return history.spark.createDataFrame([], "ts long, cnt long")
 
 
@@ -74,19 +75,20 @@ def dimension_key(dimension: str) -> Column:
     }[dimension]
 
 
-def grain_by(history, w: Window, source: str, dimension: str, f: Filters) -> DataFrame:
+def grain_by(history, w: Window, source: str, dimension: str, f: Filters, size: int = MINUTE) -> DataFrame:
     """(ts, key, cnt): as grain_counts, by the values of a dimension; only what matches.
 
     Rollups keep a minute's leading queries only; what its waits count beyond
     them has the key null, never less than 0.
     """
+    ts = F.col("ts") if size == MINUTE and source != "raw" else floor_col(F.col("ts"), size)
     if source == "raw":
         rows = _database(history.raw(w.start, w.end), f).filter(wait_matches(F.col("wait_event_type"), F.col("wait_event"), f))
         if f.query_id is not None:
             rows = rows.filter(F.col("query_id") == f.query_id)
-        return rows.groupBy(floor_col(F.col("ts"), MINUTE).alias("ts"), dimension_key(dimension).alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
+        return rows.groupBy(ts.alias("ts"), dimension_key(dimension).alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
     if source == "rollup_1h_minutes":
-        return _database(hour_details(history.hours, w), f).groupBy("ts", F.col("database").alias("key")).agg(F.sum("cnt").alias("cnt"))
+        return _database(hour_details(history.hours, w), f).groupBy(ts.alias("ts"), F.col("database").alias("key")).agg(F.sum("cnt").alias("cnt"))
     if source not in ("rollup_1m", "rollup_1h"):
         return history.spark.createDataFrame([], "ts long, key string, cnt long")
     rows = _database(history.minutes if source == "rollup_1m" else history.hours, f).filter((F.col("ts") >= w.start) & (F.col("ts") < w.end))
@@ -101,4 +103,4 @@ def grain_by(history, w: Window, source: str, dimension: str, f: Filters) -> Dat
     else:
         each = rows.select("ts", F.explode("wait_counts").alias("p")).select("ts", F.col("p.type").alias("wait_event_type"), F.col("p.event").alias("wait_event"), F.col("p.cnt").alias("cnt"))
         pairs = each.filter(wait_matches(F.col("wait_event_type"), F.col("wait_event"), f)).select("ts", dimension_key(dimension).alias("key"), "cnt")
-    return pairs.groupBy("ts", "key").agg(F.sum("cnt").alias("cnt"))
+    return pairs.groupBy(ts.alias("ts"), "key").agg(F.sum("cnt").alias("cnt"))

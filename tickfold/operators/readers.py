@@ -46,8 +46,7 @@ def aas(h: History, since=None, until=None, wait_event_type=None, wait_event=Non
     """One row: load over the window, and peak and p99 over its covered buckets (null if the source's grain is coarser than the bucket asked for)."""
     f = Filters(wait_event_type, wait_event, query_id, database)
     p = _plan(h, "aas", since, until, bucket, f)
-    grains = grain_counts(h, p.window, p.read_source, f)
-    per_bucket = grains.groupBy(floor_col(F.col("ts"), p.bucket).alias("bstart")).agg(F.sum("cnt").alias("cnt"))
+    per_bucket = grain_counts(h, p.window, p.read_source, f, p.bucket).withColumnRenamed("ts", "bstart")
     loads = per_bucket.select("cnt", _load(h, p, F.col("cnt"), F.col("bstart")).alias("load"))
     whole = loads.agg(F.count(F.lit(1)).alias("buckets_with_data"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.max("load").alias("peak"), F.percentile("load", F.lit(0.99)).alias("p99"))
     total = F.col("cnt").cast("double") * h.interval
@@ -68,7 +67,7 @@ def timeline(h: History, since=None, until=None, bucket=None, wait_event_type=No
     f = Filters(wait_event_type, wait_event, query_id, database)
     p = _plan(h, "timeline", since, until, bucket, f)
     check_bucket_count(p)
-    normal = grain_counts(h, p.window, p.read_source, f).groupBy(floor_col(F.col("ts"), p.grain).alias("gstart")).agg(F.sum("cnt").alias("cnt"))
+    normal = grain_counts(h, p.window, p.read_source, f, p.grain).withColumnRenamed("ts", "gstart")
     grains = normal.select(floor_col(F.col("gstart"), p.bucket).alias("bstart"), "cnt", (F.col("cnt").cast("double") * h.interval / p.grain).alias("load"))
     per_bucket = grains.groupBy("bstart").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"), F.max("load").alias("peak"), F.percentile("load", F.lit(0.99)).alias("p99"))
     series = h.spark.range(floor_to(p.window.start, p.bucket), p.window.end, p.bucket).withColumnRenamed("id", "bstart")
@@ -94,10 +93,9 @@ def periods(h: History, until=None) -> DataFrame:
 
 def _keyed(h: History, p: ReadPlan, dimension: str, f: Filters) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(loads by key and bucket, totals by key, the number of covered buckets)."""
-    normal = grain_by(h, p.window, p.read_source, dimension, f)
-    by_bucket = normal.groupBy("key", floor_col(F.col("ts"), p.bucket).alias("bstart")).agg(F.sum("cnt").alias("cnt"))
+    by_bucket = grain_by(h, p.window, p.read_source, dimension, f, p.bucket).withColumnRenamed("ts", "bstart")
     totals = by_bucket.groupBy("key").agg(F.sum("cnt").alias("total")).filter("total > 0")
-    covered = grain_counts(h, p.window, p.read_source, f.only_database()).select(floor_col(F.col("ts"), p.bucket).alias("bstart")).agg(F.count_distinct("bstart").alias("covered"))
+    covered = grain_counts(h, p.window, p.read_source, f.only_database(), p.bucket).agg(F.count(F.lit(1)).alias("covered"))
     return by_bucket, totals, covered
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..history import History
-from ..model import DAY, as_time, floor_col, floor_to, r2
+from ..model import DAY, as_time, floor_to, r2
 from ..plans.planner import Filters, Window, auto_bucket, check_bucket_count, plan, resolve_window
 from . import readers
 from .grains import grain_by
@@ -63,8 +63,8 @@ def chart_buckets(h: History, since=None, until=None, bucket=None) -> tuple[Data
     check_bucket_count(p)
     if p.source == "rollup_1h":
         warnings.warn(f"chart: source rollup_1h, effective window [{p.window.start}, {p.window.end}) and bucket {p.bucket} s", stacklevel=3)
-    rows = grain_by(h, p.window, "rollup_1m" if p.source == "none" else p.source, "wait_event", Filters())
-    return rows.groupBy(floor_col(F.col("ts"), p.bucket).alias("bstart"), F.col("key").alias("event")).agg(F.sum("cnt").alias("cnt")), p.window, p.bucket
+    rows = grain_by(h, p.window, "rollup_1m" if p.source == "none" else p.source, "wait_event", Filters(), p.bucket)
+    return rows.select(F.col("ts").alias("bstart"), F.col("key").alias("event"), "cnt"), p.window, p.bucket
 
 
 def chart_series(buckets: DataFrame, n: int) -> DataFrame:
