@@ -212,6 +212,16 @@ def test_leaks(spark):
     assert {12, 13, 14}.isdisjoint({r["doc_id"] for r in left.collect()}) and left.count() == len(data.texts()) - 3
 
 
+def test_proximity(spark):
+    item = "alpha beta gamma delta epsilon"
+    rows = [(1, "x alpha beta gamma delta epsilon y"), (2, "alpha gamma beta delta one epsilon"), (3, "alpha beta gamma delta"), (4, "alpha beta x x x x gamma delta epsilon"), (5, None), (6, "epsilon delta gamma beta alpha")]
+    got = {r["doc_id"] for r in inverted.proximity_matches(data.frame(spark, rows), item_frame(spark, [(1, item)]), slop=1).collect()}
+    assert got == {1, 2}
+    wide = {r["doc_id"] for r in inverted.proximity_matches(data.frame(spark, rows), item_frame(spark, [(1, item)]), slop=4).collect()}
+    assert wide == {1, 2, 4, 6}
+    assert inverted.proximity_matches(data.empty(spark), item_frame(spark, [(1, item)])).count() == 0
+
+
 # Resampling
 
 

@@ -94,6 +94,28 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str =
     return full.select("uid", place.alias("m")).groupBy("uid").agg(F.collect_set("m").alias("found"))
 
 
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_h, item, start): windows all of whose words stand near each other, in any order: within the window's length and ``slop`` words before and after it.
+
+    start is where the window would begin by the place of its rarest term. Other
+    words may stand between. Exact matches are among the results. Nulls, empty
+    texts and repeated rows are treated as by decontaminate.
+    """
+    wanted = test_items(items, text_col="text")
+    vocabulary = stored(wanted.select(F.explode("w").alias("term")).distinct(), "bench-terms")
+    index = stored(build_index(docs, vocabulary, id_col, text_col), "postings")
+    wins = stored(windows(wanted, index, size, 1), "bench-windows")
+    seed = wins.select("no", "begin", "item", "terms", F.col("seed_terms")[0].alias("term"), (F.col("offs")[0] - F.col("begin")).alias("at"))
+    # The rarest term may stand anywhere in the stretch, so each of its places is a candidate for the window.
+    places = index.join(maybe_broadcast(seed), "term").select("uid", F.struct((F.col("pos") - F.col("at")).alias("start"), F.col("pos"), "terms", "item").alias("m"))
+    found = places.groupBy("uid").agg(F.collect_set("m").alias("found"))
+    base = docs.select(uid(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_h"), F.transform(words(F.col(text_col)), lowered).alias("w"))
+    first = lambda m: F.greatest(m["start"] - slop, F.lit(0))
+    stretch = lambda m: F.slice("w", first(m) + 1, F.greatest(m["start"] + F.size(m["terms"]) + slop - first(m), F.lit(0)))
+    near = lambda m: F.size(F.array_except(m["terms"], stretch(m))) == 0
+    return base.join(found, "uid").select("doc_id", "text_h", F.explode(F.filter("found", near)).alias("m")).select("doc_id", "text_h", "m.item", "m.start")
+
+
 def covered(spans):
     """How many places the spans (struct start, len; in any order) cover together."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
