@@ -70,6 +70,26 @@ def test_stream(spark, tmp_path):
     assert store.retain(far) == ["rollup_1m/2026-03-02"]  # raw is not rolled up to its end yet
 
 
+def test_windowed_minutes(spark, tmp_path):
+    from tests.fixtures import SCHEMA, rows
+
+    spark.createDataFrame(rows(T0, [(0, ("IO", "DataFileRead"), 1, 3), (1, ("IO", "DataFileRead"), 1, 1), (30, ("CPU*", "CPU*"), 1, 1)]), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    q = stream.windowed_minutes(read).writeStream.format("memory").queryName("mins").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["cnt"] for r in spark.table("mins").collect()) == [1, 3]
+    assert "numInputRows" in stream.describe(q)
+
+
+def test_uninstall(spark, tmp_path):
+    store = stream.Store(spark, str(tmp_path / "gone"), Config())
+    store.ingest(spark.createDataFrame([snapshot(0, 1)], stream.SNAPSHOT), 0)
+    with pytest.raises(ActivityError):
+        store.uninstall("no")
+    store.uninstall("yes")
+    assert not (tmp_path / "gone").exists()
+
+
 def test_intervals():
     assert stream.check_interval("5 seconds") and stream.check_interval("2 hours")
     for bad in ("0 seconds", "60 seconds", "24 hours", "1 day"):
