@@ -53,6 +53,18 @@ def test_helpers(spark):
     assert [r["rank"] for r in ranked] == list(range(51)) and [r["k"] for r in ranked] == sorted(r["k"] for r in ranked)
 
 
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    from tickfold.llm import common
+
+    kept = common.stored(spark.range(3), "x")
+    folder = common._made[-1].removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    common.drop_scratch(spark)
+    assert not os.path.exists(folder) and common._made == []
+
+
 # Passages
 
 

@@ -42,10 +42,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+_made: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables that this process has written; results that still read them must have been written elsewhere."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared scratch folder and return the table that was written; this cuts the lineage."""
+    """Write df once to the shared scratch folder and return the table that was written; this cuts the lineage. drop_scratch removes it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -135,11 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """(ratio[BUCKETS, 2], odds[2]): the log ratios of junk and of toxic to clean, by n-gram and by class.
 
     Labels: doc_id, quality, toxic. Toxic is toxic = 1, junk is quality = 0 and
-    not toxic, clean the rest; rows with a null in any of them are not used. The
+    not toxic, clean the rest; rows with a null in any of them are not used, and of several labels of one
+    document the worst counts. The
     class models are smoothed towards the rates over all documents.
     """
     bounded_batches(docs.sparkSession)
-    whole = labels.select("doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"])
+    whole = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     picked = whole.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     marked = docs.select("doc_id", "text").join(F.broadcast(stored(picked, "labels")), "doc_id", "left")
