@@ -170,8 +170,10 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> DataFrame:
     """Edges (a, b) between ids: members of a bucket and the bucket's representative, if the Jaccard similarity of their shingles is at least ``least``.
 
-    The representative of a bucket is its first id in a hash order of the bucket's own, so a bucket of n costs n - 1 pairs, and a pair that misses its
-    representative in one table has other tables and representatives.
+    The representative of a bucket is its smallest id, so a bucket of n costs n - 1
+    pairs and a large group has nearly the same representative in all tables,
+    which keeps its different pairs few; the aggregation that finds it hashes and
+    does not sort.
     """
 
     def mark(batches):
@@ -185,8 +187,8 @@ def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least:
     masks = covering_masks(radius)
     keys = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.col("fps")[k].bitwiseAND(F.lit(signed(m)))) for k in range(prints) for i, m in enumerate(masks)])
     dealt = marked.select("doc_id", F.explode(keys).alias("bucket"))
-    first = dealt.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("rep"))).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = stored(first.select("bucket", F.col("m.rep").alias("rep")), "similar-buckets")  # stored, so that the join may split a hot bucket
+    first = dealt.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stored(first.select("bucket", "rep"), "similar-buckets")  # stored, so that the join may split a hot bucket
     pairs = dealt.join(first, "bucket").filter("doc_id <> rep")
     pairs = stored(pairs.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct(), "similar-candidates")
 
