@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -42,6 +43,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def per_process(key, make):
+    """What make() gave when it was last called with key in this process; one object is held at a time. Functions reach Python workers by value, so their modules' own variables would be new in each task."""
+    import types
+
+    held = sys.modules.setdefault("tickfold_held", types.ModuleType("tickfold_held")).__dict__
+    if held.get("key") != key:
+        held["value"] = None
+        held["key"], held["value"] = key, make()
+    return held["value"]
+
+
 _made: list[str] = []
 
 
