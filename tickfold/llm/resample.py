@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, global_rank, read_table, stored, without
+from .common import bounded_batches, global_rank, per_process, read_table, stored, without
 
 #: Labelled documents to fit on, at most.
 MAX_LABELLED = 30_000
@@ -50,29 +50,38 @@ LEAST_RATIO = 2.5
 STEMS = (4, 5, 6)
 #: Shares of words equal to the one before from which a text counts as repetitive.
 REPEATS = (0.1, 0.3, 0.6)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 BLOCK_WORDS = 1 << 16
 #: ASCII marks and digits part words; marks themselves form a second stream of tokens.
 WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 LETTERS = bytes(b for b in range(256) if chr(b).isalnum() and b < 128 or b >= 128)
 
 
+class Numbered(dict):
+    """A dictionary that computes what it lacks."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key):
+        got = self[key] = self.compute(key)
+        return got
+
+
 class Grams:
     """The n-grams of a text: words, pairs of neighbouring words, marks and their pairs, beginnings of words, and the text's shape. Each is hashed to a bucket of two tables independently; n-grams that share both are rare."""
 
     def __init__(self):
-        self.known = {}
+        self.known = Numbered(self.number)
         self.table, self.used = np.zeros((1 << 16, 1 + len(STEMS)), "u8"), 0
 
     def number(self, word: bytes) -> int:
-        """Row of the table with the hashes of word and of its beginnings (zero where it has none)."""
-        got = self.known.get(word)
-        if got is None:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            got, self.used = self.used, self.used + 1
-            self.known[word] = got
-            self.table[got] = [hash_of(word), *(hash_of(b"\3" + word[:n]) if len(word) > n else 0 for n in STEMS)]
+        """A new row of the table with the hashes of word and of its beginnings (zero where it has none)."""
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        got, self.used = self.used, self.used + 1
+        self.table[got] = [hash_of(word), *(hash_of(b"\3" + word[:n]) if len(word) > n else 0 for n in STEMS)]
         return got
 
     @staticmethod
@@ -87,7 +96,7 @@ class Grams:
         parts, pairs, n, same = [], [], 0, 0
         split = text.translate(WORDS).split()
         for at in range(0, len(split), BLOCK_WORDS):
-            ids = [*map(self.number, split[at : at + BLOCK_WORDS + 1])]  # one word over, for the pair across
+            ids = [*map(self.known.__getitem__, split[at : at + BLOCK_WORDS + 1])]  # one word over, for the pair across
             rows = self.table[ids]
             h = rows[:, 0]
             parts.append(rows.ravel())
@@ -115,7 +124,7 @@ def histograms(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(kind, bucket, n): in how many texts (kind int, text) each n-gram bucket occurs, summed in each task first; bucket -1 counts the texts."""
 
     def run(batches):
-        grams, sums, docs_of = Grams(), {}, {}
+        grams, sums, docs_of = per_process("grams", Grams), {}, {}
         for b in batches:
             for kind, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 if kind not in sums:
@@ -174,7 +183,7 @@ def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(ratio.astype("f4")))
 
     def run(batches):
-        grams, known = Grams(), table.value
+        grams, known = per_process("grams", Grams), table.value
         live = known.any(axis=1)
         for b in batches:
             weight = [-float((evidence(known, live, *grams.of(x.as_py() or b"")) + odds).max()) for x in b.column(2).cast(pa.binary())]
