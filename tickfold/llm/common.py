@@ -64,12 +64,12 @@ def drop_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared scratch folder and return the table that was written; this cuts the lineage. drop_scratch removes it."""
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write df once to the shared scratch folder and return the table that was written; this cuts the lineage. drop_scratch removes it. Large tables may ask for zstd, whose writers hold native memory by file and column."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -83,7 +83,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str =
     """
     wanted = test_items(items, text_col="text")
     vocabulary = stored(wanted.select(F.explode("w").alias("term")).distinct(), "bench-terms")
-    index = stored(build_index(docs, vocabulary, id_col, text_col), "postings")
+    index = stored(build_index(docs, vocabulary, id_col, text_col), "postings", "zstd")
     wins = stored(windows(wanted, index, size), "bench-windows")
     seed = stored(wins.select("no", F.explode(F.arrays_zip("offs", "seed_terms")).alias("z")).select("no", F.col("z.offs").alias("off"), F.col("z.seed_terms").alias("term")).distinct(), "bench-seeds")
     least = wins.groupBy("no").agg(F.min(F.size("offs")).alias("need"))
@@ -103,7 +103,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2, size: in
     """
     wanted = test_items(items, text_col="text")
     vocabulary = stored(wanted.select(F.explode("w").alias("term")).distinct(), "bench-terms")
-    index = stored(build_index(docs, vocabulary, id_col, text_col), "postings")
+    index = stored(build_index(docs, vocabulary, id_col, text_col), "postings", "zstd")
     wins = stored(windows(wanted, index, size, 1), "bench-windows")
     seed = wins.select("no", "begin", "item", "terms", F.col("seed_terms")[0].alias("term"), (F.col("offs")[0] - F.col("begin")).alias("at"))
     # The rarest term may stand anywhere in the stretch, so each of its places is a candidate for the window.

@@ -137,7 +137,7 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, length: int, reach: int)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sha, pa.string()), b.column(2), b.column(3), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "sha", "text_h", "text_n", "keys"])
 
     picked = with_key(docs, id_col, text_col)
-    return stored(picked.mapInArrow(run, "doc_id long, n_bytes long, sha string, text_h long, text_n int, keys array<long>"), "parse")
+    return stored(picked.mapInArrow(run, "doc_id long, n_bytes long, sha string, text_h long, text_n int, keys array<long>"), "parse", "zstd")
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -268,7 +268,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = base.select(*KEY, F.posexplode("keys").alias("place", "key"))
     shared = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "parse-shared")  # stored, so that the join may split a hot digest
     candidates = anchors.join(shared, "key", "left_semi").groupBy(*KEY).agg(F.collect_set("place").alias("picked"))
-    found = stored(contexts(docs, stored(candidates, "parse-candidates"), id_col, text_col, length, reach), "parse-contexts")
+    found = stored(contexts(docs, stored(candidates, "parse-candidates"), id_col, text_col, length, reach), "parse-contexts", "zstd")
     windows = stored(ordered(found, length), "parse-windows")
     marked = found.select(*KEY, "trig", "ctx", "ctx2").join(windows, ["ctx", "ctx2"])
     starts = marked.groupBy(*KEY).agg(F.collect_list(F.struct("trig", "starts")).alias("hits"))
