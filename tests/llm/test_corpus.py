@@ -1,6 +1,7 @@
 """Operators on whole collections, against brute force, and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -185,6 +186,34 @@ def test_keep_one_each(spark):
     assert simhash.keep_one_each(data.empty(spark)).count() == 0
 
 
+def test_keep_one_each_compares_all_that_share_a_bucket(spark):
+    # Equal sets of words, so all texts share every bucket; moved stretches decide how similar they are.
+    words = [f"shared{i:03d}word" for i in range(200)]
+
+    def moved(starts, size=6):
+        w = list(words)
+        for at in starts:
+            w[at : at + size] = w[at : at + size][::-1]
+        return " ".join(w)
+
+    rows = [(1, moved((5, 45, 85, 125))), (2, moved(())), (3, moved((165,))), (4, moved((165, 185), 4))]
+    for k in range(24):
+        mixed = words[:]
+        random.Random(k // 2).shuffle(mixed)
+        rows.append((10 + k, " ".join(mixed[: 4 * k] + mixed[4 * k : 4 * k + 6 * (k % 2)][::-1] + mixed[4 * k + 6 * (k % 2) :])))
+    sets = {i: set(simhash.shingles(t.encode(), 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    want = {i for i in root if root[i] == i}
+    assert 1 in want and 2 in want and 3 not in want and 4 not in want and len(want) == 14  # 1 shares buckets with 2 and 3, yet neither is its copy
+    got = simhash.keep_one_each(data.frame(spark, rows)).collect()
+    assert {r["doc_id"] for r in got} == want
+
+
 # Decontamination
 
 

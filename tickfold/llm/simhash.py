@@ -36,6 +36,8 @@ SEED = 42
 BLOCK = 1 << 15
 #: Bytes of a word that tells texts apart; shorter ones are mostly function words.
 LONG = 6
+#: Members of a bucket that are all compared with each other.
+SMALL = 8
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -167,30 +169,8 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], "u8"))
 
 
-def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> DataFrame:
-    """Edges (a, b) between ids: members of a bucket and the bucket's representative, if the Jaccard similarity of their shingles is at least ``least``.
-
-    The representative of a bucket is its smallest id, so a bucket of n costs n - 1
-    pairs and a large group has nearly the same representative in all tables,
-    which keeps its different pairs few; the aggregation that finds it hashes and
-    does not sort.
-    """
-
-    def mark(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_fingerprints(x.as_py() or b"", prints) for x in b.column(1)], pa.list_(pa.int64()))], ["doc_id", "fps"])
-
-    bounded_batches(docs.sparkSession)
-    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
-    marked = stored(texts.mapInArrow(mark, "doc_id long, fps array<long>"), "words-simhash")
-    masks = covering_masks(radius)
-    keys = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.col("fps")[k].bitwiseAND(F.lit(signed(m)))) for k in range(prints) for i, m in enumerate(masks)])
-    dealt = marked.select("doc_id", F.explode(keys).alias("bucket"))
-    first = dealt.groupBy("bucket").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = stored(first.select("bucket", "rep"), "similar-buckets")  # stored, so that the join may split a hot bucket
-    pairs = dealt.join(first, "bucket").filter("doc_id <> rep")
-    pairs = stored(pairs.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct(), "similar-candidates")
+def compared(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b, grade) for pairs (a, b) of uids: 2 if the Jaccard similarity of the shingles of their texts is at least ``least``, 1 if it is at least 2 * ``least`` - 1, else 0."""
 
     def verify(batches):
         known: dict[int, np.ndarray] = {}
@@ -203,17 +183,89 @@ def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least:
             return known[i]
 
         for b in batches:
-            keep = []
+            grades = []
             for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 s, t = of(x, b.column(2)[i].as_py()), of(y, b.column(3)[i].as_py())
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both >= least * (len(s) + len(t) - both))
-            hit = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], ["a", "b"])
+                whole = len(s) + len(t) - both
+                grades.append(2 if both >= least * whole else int(both >= (2 * least - 1 - 1e-9) * whole))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grades, pa.int32())], ["a", "b", "grade"])
+
+    left = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, grade int").distinct()
+
+
+def ordered_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("uid", "rep").alias("a"), F.greatest("uid", "rep").alias("b")).distinct()
+
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
+def unsettled(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What met (bucket, rep, uid) leaves in its buckets by the grades of known: (bucket, uid) that some representative failed to link, or that may still match one; and those that are settled.
+
+    The distance 1 - Jaccard is a metric. A member within 1 - least of its
+    representative can match another one outside that only if the other is within
+    twice that distance of the representative (grade 1). Where a bucket has none
+    of grade 1, the linked members are settled.
+    """
+    graded = met.withColumn("a", F.least("uid", "rep")).withColumn("b", F.greatest("uid", "rep")).join(known, ["a", "b"]).select("bucket", "rep", "uid", "grade")
+    closed = graded.groupBy("bucket", "rep").agg(F.max((F.col("grade") == 1).cast("int")).alias("near")).filter("near = 0").select("bucket", "rep")
+    settled = graded.filter("grade = 2").join(closed, ["bucket", "rep"], "left_semi").select("bucket", "uid")
+    return graded.select("bucket", "uid").distinct(), settled
+
+
+def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> DataFrame:
+    """Edges (a, b) between ids that connect all texts which share a bucket and ``least`` of their shingles.
+
+    First the members of a bucket are compared with its representative, the least
+    uid (a hash of id and text): n - 1 pairs a bucket, and a large group has
+    nearly the same representative in all tables, which keeps its different pairs
+    few. Those not settled by that (see ``unsettled``) are dealt again among
+    themselves until no bucket holds members of two components: all members of
+    a bucket of up to ``SMALL`` are compared with each other, of a larger one with
+    about ``SMALL`` representatives, four times as many in each further round.
+    So each pair that shares a bucket is compared, linked by others, or too far
+    apart by the triangle inequality.
+    """
+
+    def mark(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([word_fingerprints(x.as_py() or b"", prints) for x in b.column(2)], pa.list_(pa.int64()))], ["uid", "doc_id", "fps"])
+
+    bounded_batches(docs.sparkSession)
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text")).select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    marked = stored(texts.mapInArrow(mark, "uid long, doc_id long, fps array<long>"), "words-simhash")
+    masks = covering_masks(radius)
+    keys = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.col("fps")[k].bitwiseAND(F.lit(signed(m)))) for k in range(prints) for i, m in enumerate(masks)])
+    dealt = marked.select("uid", F.explode(keys).alias("bucket"))
+    first = dealt.groupBy("bucket").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stored(first, "similar-buckets")  # stored, so that the join may split a hot bucket
+    met = stored(dealt.join(first, "bucket").filter("uid <> rep").select("bucket", "rep", "uid", "n"), "similar-met")
+    known = stored(compared(stored(ordered_pairs(met), "similar-candidates"), texts, width, least), "similar-known")
+    left, settled = unsettled(met.filter("n > 2").select("bucket", "rep", "uid"), known)
+    reach = SMALL
+    while True:
+        left = stored(left.join(settled, ["bucket", "uid"], "left_anti"), "similar-left")
+        if left.isEmpty():
+            break
+        roots = components(known.filter("grade = 2").select("a", "b"))
+        rooted = left.join(roots.withColumnRenamed("v", "uid"), "uid", "left").select("bucket", "uid", F.coalesce("root", "uid").alias("root"))
+        rooted = stored(rooted, "similar-rooted")
+        live = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n", "least")
+        members = stored(rooted.join(stored(live, "similar-live"), "bucket"), "similar-members")
+        if members.isEmpty():
+            break
+        chosen = (F.pmod(F.xxhash64("uid", F.lit(reach)), F.lit(1 << 20)) * F.col("n") < reach << 20) | (F.col("uid") == F.col("least"))
+        reps = stored(members.filter(chosen).select("bucket", F.col("uid").alias("rep"), F.col("root").alias("rep_root")), "similar-reps")
+        met = stored(members.join(reps, "bucket").filter("root <> rep_root").select("bucket", "rep", "uid"), "similar-met")
+        fresh = stored(ordered_pairs(met).join(known, ["a", "b"], "left_anti"), "similar-candidates")
+        known = known.unionByName(stored(compared(fresh, texts, width, least), "similar-known"))
+        settled = unsettled(met, known)[1].unionByName(reps.select("bucket", F.col("rep").alias("uid")))
+        left, reach = members.select("bucket", "uid"), reach * 4
+    names = marked.select("uid", "doc_id").distinct()
+    edges = known.filter("grade = 2").join(names.select(F.col("uid").alias("a"), F.col("doc_id").alias("x")), "a").join(names.select(F.col("uid").alias("b"), F.col("doc_id").alias("y")), "b")
+    return edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keep_one_each(docs: DataFrame, prints: int = 8, radius: int = 3, width: int = 5, least: float = 0.8) -> DataFrame:
