@@ -214,6 +214,19 @@ def test_keep_one_each_compares_all_that_share_a_bucket(spark):
     assert {r["doc_id"] for r in got} == want
 
 
+def test_near_copies_are_found_wherever_they_differ(spark):
+    rows = []
+    for k in range(60):
+        words = [f"word{k}x{i}longer" for i in range(200)]
+        fresh = [f"fresh{k}x{i}longer" for i in range(46)]
+        other = [words + fresh, words[:-38], words[:80] + fresh[:17] + words[97:]][k % 3]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        s, t = (set(simhash.shingles(x.encode(), 5).tolist()) for _, x in rows[-2:])
+        assert 0.8 <= len(s & t) / len(s | t) < 0.83
+    left = {r["doc_id"] for r in simhash.keep_one_each(data.frame(spark, rows)).collect()}
+    assert left == {2 * k for k in range(60)}
+
+
 # Decontamination
 
 
