@@ -95,9 +95,10 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str =
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_h, item, start): windows all of whose words stand near each other, in any order: within the window's length and ``slop`` words before and after it.
+    """(doc_id, text_h, item, start): windows all of whose words stand within the window's length and ``slop`` words before and after it, in any order, where the window is placed by its rarest term.
 
-    start is where the window would begin by the place of its rarest term. Other
+    start is where the window would begin by the place of its rarest term, so a
+    permuted window whose rarest term moved by more than ``slop`` is not found. Other
     words may stand between. Exact matches are among the results. Nulls, empty
     texts and repeated rows are treated as by decontaminate.
     """
