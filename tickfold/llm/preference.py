@@ -21,7 +21,7 @@ LAST_TURN = (1 << 63) - 1
 
 
 def sided_by_id(turns: DataFrame) -> DataFrame:
-    """The layout of the table: the two answers to one prompt have neighbouring ids, the chosen an even one. Adds pair_id and chosen."""
+    """An assumption, as the table names no pairs: neighbouring ids are the two answers to one prompt, the chosen an even one. Adds pair_id and chosen. The given table has no shared prompts under it; null ids are left out."""
     return turns.filter("conv_id is not null").withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("chosen", F.col("conv_id") % 2 == 0)
 
 
