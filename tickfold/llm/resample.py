@@ -3,7 +3,8 @@
 Generative models over hashed unigrams and bigrams, each counted once a document
 (so that one repetitive text does not speak for its class), are fitted to a
 target (clean texts) and to the raw side. The raw side is a mixture of what the labels tell
-apart, low quality and toxic, besides all text itself; a document's weight is
+apart, low quality and toxic. All text is no component of it (a departure from
+target against raw) and only smooths the rates; a document's weight is
 the log ratio of the target's probability to that of the best raw component,
 with the log odds of the classes. N-grams whose rates in the two models do not differ
 by ``SIGNIFICANT`` standard errors count as equally likely, else the words that
