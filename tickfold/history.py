@@ -19,17 +19,19 @@ class History:
     """Observations with optional rollups.
 
     observations: a DataFrame (model.OBSERVATIONS), or a function (since, until) in
-    seconds that returns one, so that bounds can reach the scan. as_of stands for
+    seconds that returns one, so that bounds can reach the scan; minutes and hours
+    likewise. as_of stands for
     the present; nothing here reads a clock. query_texts (query_id, query) and
-    query_stats (query_id, calls, total_exec_ms) are optional.
+    query_stats (query_id, calls, total_exec_ms) are optional, as are counters for status.
     """
 
-    def __init__(self, spark: SparkSession, observations: DataFrame | Scan | None, as_of, minutes: DataFrame | None = None, hours: DataFrame | None = None, config: Config | None = None, query_texts: DataFrame | None = None, query_stats: DataFrame | None = None, minute_watermark=None, hour_watermark=None, stats: SourceStats | None = None):
+    def __init__(self, spark: SparkSession, observations: DataFrame | Scan | None, as_of, minutes: DataFrame | Scan | None = None, hours: DataFrame | Scan | None = None, config: Config | None = None, query_texts: DataFrame | None = None, query_stats: DataFrame | None = None, minute_watermark=None, hour_watermark=None, stats: SourceStats | None = None, counters: dict[str, int] | None = None):
         self.spark, self.config, self.as_of = spark, config or Config(), seconds(as_of)
         self._observations = observations
         self.has_minutes, self.has_hours = minutes is not None, hours is not None
-        self.minutes = minutes if minutes is not None else spark.createDataFrame([], ROLLUP_1M)
-        self.hours = hours if hours is not None else spark.createDataFrame([], ROLLUP_1H)
+        self._minutes = minutes if minutes is not None else spark.createDataFrame([], ROLLUP_1M)
+        self._hours = hours if hours is not None else spark.createDataFrame([], ROLLUP_1H)
+        self.counters = counters or {}
         self.query_texts, self.query_stats = query_texts, query_stats
         self.minute_watermark, self.hour_watermark = seconds(minute_watermark), seconds(hour_watermark)
         self._stats = stats
@@ -51,6 +53,22 @@ class History:
             found = found.filter(F.col("sample_ts") < literal_time(end))
         return found
 
+    @property
+    def minutes(self) -> DataFrame:
+        """The minute rollup, whole; see minutes_in."""
+        return self._minutes(None, None) if callable(self._minutes) else self._minutes
+
+    @property
+    def hours(self) -> DataFrame:
+        return self._hours(None, None) if callable(self._hours) else self._hours
+
+    def minutes_in(self, start: int, end: int) -> DataFrame:
+        """Minutes with start <= ts < end; a stored rollup is asked for these days only."""
+        return (self._minutes(start, end) if callable(self._minutes) else self._minutes).filter((F.col("ts") >= start) & (F.col("ts") < end))
+
+    def hours_in(self, start: int, end: int) -> DataFrame:
+        return (self._hours(start, end) if callable(self._hours) else self._hours).filter((F.col("ts") >= start) & (F.col("ts") < end))
+
     def raw(self, start: int | None = None, end: int | None = None) -> DataFrame:
         """As rows, with ts in seconds in place of sample_ts."""
         return self.rows(start, end).withColumn("ts", as_seconds(F.col("sample_ts"))).drop("sample_ts")
@@ -72,7 +90,7 @@ class History:
         """Whether some hour that touches the window has no valid minute detail."""
 
         def check(w: Window) -> bool:
-            rows = self.hours.filter((F.col("ts") > w.start - HOUR) & (F.col("ts") < w.end))
+            rows = self.hours_in(w.start - HOUR + 1, w.end)
             if f.database is not None:
                 rows = rows.filter(F.col("database") == f.database)
             return not rows.filter(~minutes_valid(F.col("minute_counts"), F.col("wait_counts"))).isEmpty()
@@ -88,8 +106,8 @@ class History:
             if self.stats.raw_oldest is None or pick_source_agg(self.stats, w, self.as_of) not in ("rollup_1m", "rollup_1h"):
                 return False
             end = min(w.end, floor_to(self.stats.raw_oldest, MINUTE))
-            for rows, size in ((self.minutes, MINUTE), (self.hours, HOUR)):
-                near = rows.filter((F.col("ts") + size > w.start) & (F.col("ts") < end))
+            for rows, size in ((self.minutes_in, MINUTE), (self.hours_in, HOUR)):
+                near = rows(w.start - size + 1, end)
                 if f.database is not None:
                     near = near.filter(F.col("database") == f.database)
                 if not near.isEmpty():

@@ -7,7 +7,8 @@ the same bucket bounds, whenever it is asked for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
@@ -58,11 +59,12 @@ class Config:
     rotated_at: int | None = None
     current_slot: int = 0
     color: bool = False
+    debug_logging: bool = False
     databases: tuple[str, ...] = field(default=())
 
     def __post_init__(self):
         if not 3 <= self.num_partitions <= 32:
-            raise ActivityError("num_partitions must be between 3 and 32")
+            raise ActivityError(f"a ring has 3 to 32 partitions, not {self.num_partitions}")
         days = self.rotation_period / timedelta(days=1)
         if days <= 0 or days != int(days):
             raise ActivityError("rotation_period must be a positive whole number of days")
@@ -81,6 +83,31 @@ class Config:
         return [(self.current_slot - k) % self.num_partitions for k in range(self.num_partitions - 1)]
 
 
+def slots_for(config: Config, lookback=None) -> list[int]:
+    """The readable slots, newest first, for a look back from now; none, with a warning, if it is negative or longer than raw rows are kept whole."""
+    if lookback is not None:
+        asked, kept = duration(lookback), (config.num_partitions - 2) * config.rotation_period.total_seconds()
+        if asked < 0:
+            warnings.warn(f"a look back of {asked:g} s is negative: no slot has it", stacklevel=2)
+            return []
+        if asked > kept:
+            warnings.warn(f"a look back of {asked:g} s is longer than raw rows are kept ({kept:g} s): no slot has it; use more partitions or a longer period", stacklevel=2)
+            return []
+    return config.active_slots
+
+
+def slots_from(config: Config, since, as_of) -> list[int]:
+    """slots_for, for a window that begins at since; one that begins after as_of has nothing to look back to."""
+    return slots_for(config, seconds(as_of) - seconds(since))
+
+
+def set_debug_logging(config: Config, enabled: bool | None = None) -> tuple[Config, str]:
+    """(configuration, what it now says): without enabled, only tells. While it is on, ingestion logs the sessions it samples."""
+    if enabled is not None:
+        config = replace(config, debug_logging=enabled)
+    return config, f"debug_logging is {'on' if config.debug_logging else 'off'}"
+
+
 def seconds(value) -> int | None:
     """A time (datetime, naive being UTC, ISO text, or seconds) as whole seconds, rounded down."""
     if value is None or isinstance(value, int):

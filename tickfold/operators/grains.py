@@ -40,9 +40,9 @@ def minutes_valid(counts: Column, waits: Column) -> Column:
     return F.coalesce((F.size(counts) == 60) & (by_minute == total), F.lit(False))
 
 
-def hour_details(hours: DataFrame, w: Window) -> DataFrame:
+def hour_details(history, w: Window) -> DataFrame:
     """(ts, database, cnt, grain): the minutes of hours that have them, one row for an hour that does not."""
-    near = hours.filter((F.col("ts") >= w.start - HOUR + MINUTE) & (F.col("ts") < w.end)).withColumn("valid", minutes_valid(F.col("minute_counts"), F.col("wait_counts")))
+    near = history.hours_in(w.start - HOUR + MINUTE, w.end).withColumn("valid", minutes_valid(F.col("minute_counts"), F.col("wait_counts")))
     mins = near.filter("valid").select("ts", "database", F.posexplode("minute_counts").alias("i", "cnt")).filter("cnt is not null")
     mins = mins.select((F.col("ts") + F.col("i") * MINUTE).alias("ts"), "database", "cnt", F.lit(MINUTE).alias("grain"))
     flat = near.filter("not valid").select("ts", "database", _pair_sum(F.col("wait_counts"), Filters()).alias("cnt"), F.lit(HOUR).alias("grain"))
@@ -59,9 +59,9 @@ def grain_counts(history, w: Window, source: str, f: Filters, size: int = MINUTE
             hit = hit & F.col("query_id").eqNullSafe(F.lit(f.query_id))
         return rows.groupBy(ts.alias("ts")).agg(F.count_if(hit).alias("cnt"))
     if source == "rollup_1h_minutes":
-        return _database(hour_details(history.hours, w), f).groupBy(ts.alias("ts")).agg(F.sum("cnt").alias("cnt"))
+        return _database(hour_details(history, w), f).groupBy(ts.alias("ts")).agg(F.sum("cnt").alias("cnt"))
     if source in ("rollup_1m", "rollup_1h"):
-        rows = _database(history.minutes if source == "rollup_1m" else history.hours, f).filter((F.col("ts") >= w.start) & (F.col("ts") < w.end))
+        rows = _database((history.minutes_in if source == "rollup_1m" else history.hours_in)(w.start, w.end), f)
         return rows.groupBy(ts.alias("ts")).agg(F.sum(_pair_sum(F.col("wait_counts"), f)).alias("cnt"))
     return history.spark.createDataFrame([], "ts long, cnt long")
 
@@ -88,10 +88,10 @@ def grain_by(history, w: Window, source: str, dimension: str, f: Filters, size:
             rows = rows.filter(F.col("query_id") == f.query_id)
         return rows.groupBy(ts.alias("ts"), dimension_key(dimension).alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
     if source == "rollup_1h_minutes":
-        return _database(hour_details(history.hours, w), f).groupBy(ts.alias("ts"), F.col("database").alias("key")).agg(F.sum("cnt").alias("cnt"))
+        return _database(hour_details(history, w), f).groupBy(ts.alias("ts"), F.col("database").alias("key")).agg(F.sum("cnt").alias("cnt"))
     if source not in ("rollup_1m", "rollup_1h"):
         return history.spark.createDataFrame([], "ts long, key string, cnt long")
-    rows = _database(history.minutes if source == "rollup_1m" else history.hours, f).filter((F.col("ts") >= w.start) & (F.col("ts") < w.end))
+    rows = _database((history.minutes_in if source == "rollup_1m" else history.hours_in)(w.start, w.end), f)
     if dimension == "query_id":
         total = _pair_sum(F.col("wait_counts"), Filters())
         known = F.aggregate("query_counts", F.lit(0).cast("long"), lambda a, p: a + p["cnt"])

@@ -48,6 +48,8 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left
     return left.join(renamed, cond, how).drop(*[f"{k}__" for k in keys])
 
 
+#: grouping_id over (ts, database, tick, state, type, event, query_id) of the three sets: a bit for each column left out.
+TICK_SET, WAIT_SET, QUERY_SET = 0b0001111, 0b0010001, 0b0011110
 NO_QUERIES = "array<struct<query_id:bigint,cnt:bigint>>"
 
 
@@ -63,13 +65,17 @@ def roll_minutes(observations: DataFrame, config: Config, since=None, until=None
     if until is not None:
         rows = rows.filter(F.col("sample_ts") < literal_time(floor_to(seconds(until), MINUTE)))
     keys = ["ts", "database"]
+    # One row for each tick, wait and query of a minute, and from it one pass to (minute, wait), (minute, tick) and (minute, query) together: grouping sets share the scan and the shuffle.
     base = rows.select(floor_col(as_seconds(F.col("sample_ts")), MINUTE).alias("ts"), "database", as_seconds(F.col("sample_ts")).alias("tick"), "state", F.col("wait_event_type").alias("type"), F.col("wait_event").alias("event"), "query_id")
-    fine = base.groupBy(*keys, "tick", *WAIT, "query_id").agg(F.count(F.lit(1)).alias("c"))
-    ticks = fine.groupBy(*keys, "tick").agg(F.sum("c").alias("active")).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("samples"), F.max("active").cast("int").alias("peak_backends"))
-    waits = fine.groupBy(*keys, *WAIT).agg(F.sum("c").alias("n")).groupBy(*keys).agg(ordered_pairs(F.col("n"), *WAIT).alias("wait_counts"))
-    queries = leading_queries(fine.filter("query_id is not null").groupBy(*keys, "query_id").agg(F.sum("c").alias("n")), keys, config.rollup_min_backend_seconds)
-    whole = _joined(_joined(ticks, waits, keys), queries, keys)
-    return whole.withColumn("query_counts", F.coalesce("query_counts", F.array().cast(NO_QUERIES)))
+    sets = base.groupingSets([[*keys, "tick"], [*keys, *WAIT], [*keys, "query_id"]], *keys, "tick", *WAIT, "query_id")
+    parts = sets.agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n")).filter(f"g <> {QUERY_SET} or (query_id is not null and n >= {int(config.rollup_min_backend_seconds)})")
+    lead = Window.partitionBy(*keys).orderBy((F.col("g") == QUERY_SET).desc(), F.col("n").desc(), F.col("query_id").asc())  # queries first; the same partitioning serves the next step
+    kept = parts.withColumn("place", F.when(F.col("g") == QUERY_SET, F.row_number().over(lead)).otherwise(0)).filter(F.col("place") <= TOP_QUERIES)
+    of = lambda g, c: F.when(F.col("g") == g, c)
+    pairs = lambda g, *names: F.array_sort(F.collect_list(of(g, F.struct((-F.col("n")).alias("o"), *names, F.col("n").alias("cnt")))))
+    plain = lambda c, *names: F.transform(c, lambda p: F.struct(*[p[x].alias(x) for x in names], p["cnt"].alias("cnt")))
+    whole = kept.groupBy(*keys).agg(F.count(of(TICK_SET, F.lit(1))).cast("int").alias("samples"), F.max(of(TICK_SET, F.col("n"))).cast("int").alias("peak_backends"), pairs(WAIT_SET, *WAIT).alias("w"), pairs(QUERY_SET, "query_id").alias("q"))
+    return whole.select("ts", "database", "samples", "peak_backends", plain("w", *WAIT).alias("wait_counts"), plain("q", "query_id").alias("query_counts"))
 
 
 def roll_hours(minutes: DataFrame, minute_watermark=None, since=None) -> DataFrame:
@@ -96,13 +102,21 @@ def roll_hours(minutes: DataFrame, minute_watermark=None, since=None) -> DataFra
 
 
 def rollup_minute(observations: DataFrame, config: Config, watermark, as_of, batch_limit: int = 60) -> tuple[DataFrame, int, int]:
-    """One catch-up step: (rows, the new watermark, grains processed). Only whole minutes before as_of; empty ones advance the watermark too."""
+    """One catch-up step: (rows, the new watermark, grains processed). Only whole minutes before as_of; empty ones advance the watermark too (see gap_minutes)."""
     start = floor_to(seconds(watermark), MINUTE)
     end = min(floor_to(seconds(as_of), MINUTE), start + batch_limit * MINUTE)
     end = max(start, end)
     return roll_minutes(observations, config, start, end), end, (end - start) // MINUTE
 
 
+def gap_minutes(minutes: DataFrame, observations: DataFrame, start, end) -> DataFrame:
+    """(ts): minutes of [start, end) that have no row though a later observation exists: rows that may have been dropped before they were rolled."""
+    lo, hi = floor_to(seconds(start), MINUTE), floor_to(seconds(end), MINUTE)
+    newest = observations.agg(F.max(as_seconds(F.col("sample_ts"))).alias("newest"))
+    series = observations.sparkSession.range(lo, hi, MINUTE).withColumnRenamed("id", "ts")
+    return series.join(minutes.select("ts"), "ts", "left_anti").crossJoin(F.broadcast(newest)).filter(F.col("newest") >= F.col("ts") + MINUTE).select("ts")
+
+
 def rollup_hour(minutes: DataFrame, minute_watermark, hour_watermark, batch_limit: int = 24) -> tuple[DataFrame, int, int]:
     """As rollup_minute, for hours that the minute watermark has passed."""
     start = floor_to(seconds(hour_watermark), HOUR)
@@ -117,22 +131,29 @@ def cleanup(minutes: DataFrame, hours: DataFrame, config: Config, as_of) -> tupl
     keep_m = F.col("ts") >= now - config.rollup_1m_retention_days * DAY
     keep_h = F.col("ts") >= now - config.rollup_1h_retention_days * DAY
     gone = [df.filter(~keep).count() for df, keep in ((minutes, keep_m), (hours, keep_h))]
+    # Fixed value: how the result is worded.
     return minutes.filter(keep_m), hours.filter(keep_h), f"cleanup: deleted {gone[0]} minute rows, {gone[1]} hourly rows"
 
 
+def unrolled(observations: DataFrame, minutes: DataFrame) -> DataFrame:
+    """(ts, database) of observations that the minutes lack, or have with fewer samples or a lower peak."""
+    ticks = observations.groupBy(floor_col(as_seconds(F.col("sample_ts")), MINUTE).alias("ts"), "database", "sample_ts").agg(F.count(F.lit(1)).alias("n"))
+    want = ticks.groupBy("ts", "database").agg(F.count(F.lit(1)).alias("ticks"), F.max("n").alias("most"))
+    have = minutes.select("ts", "database", "samples", "peak_backends")
+    both = _joined(want, have, ["ts", "database"])
+    return both.filter("samples is null or samples < ticks or peak_backends < most").select("ts", "database")
+
+
 def rotate(observations: DataFrame, minutes: DataFrame, config: Config, as_of) -> tuple[DataFrame, Config]:
     """Advance the ring: (rows that survive, the new configuration).
 
     Kept are the last num_partitions - 1 periods. Refuses to drop a minute of a
-    database that no stored minute covers.
+    database that no stored minute covers in full.
     """
     now = seconds(as_of)
     keep_from = floor_to(int(now - (config.num_partitions - 1) * config.rotation_period.total_seconds()), MINUTE)
     old = observations.filter(F.col("sample_ts") < literal_time(keep_from))
-    lost = old.select(floor_col(as_seconds(F.col("sample_ts")), MINUTE).alias("ts"), "database").distinct()
-    rolled = minutes.select(F.col("ts").alias("t"), F.col("database").alias("d"))
-    missing = lost.join(rolled, (F.col("ts") == F.col("t")) & F.col("database").eqNullSafe(F.col("d")), "left_anti")
-    if not missing.isEmpty():
+    if not unrolled(old, minutes).isEmpty():
         raise ActivityError("rotate: rows that are not rolled up would be lost; roll up first")
     return observations.filter(F.col("sample_ts") >= literal_time(keep_from)), replace(config, current_slot=(config.current_slot + 1) % config.num_partitions, rotated_at=now)
 
