@@ -127,3 +127,99 @@ def test_planner():
         with pytest.raises(ActivityError):
             Config(**bad)
     assert duration("90 seconds") == 90
+
+
+def minutes_of(spark, store):
+    return sorted(r["ts"] for r in store.rollup("rollup_1m").collect())
+
+
+def test_late_rows_do_not_touch_what_is_rolled(spark, tmp_path):
+    store = stream.Store(spark, str(tmp_path / "s"), Config(sample_interval=60, rollup_min_backend_seconds=1))
+    frame = lambda *rows: spark.createDataFrame(list(rows), stream.SNAPSHOT)
+    store.ingest(frame(*[snapshot(k, 1) for k in range(10)]), 0)
+    far = 3 * 1440
+    with pytest.warns(UserWarning, match="no samples"):
+        store.ingest(frame(snapshot(far, 1)), 1)  # days later: the last minutes of the first day are rolled now
+    assert minutes_of(spark, store) == [seconds(T0) + 60 * k for k in range(10)]
+    before = store.state()
+    store.ingest(frame(snapshot(3, 2), snapshot(far, 2)), 2)
+    assert store.counters()["late"] == 1 and store.late().count() == 1
+    assert minutes_of(spark, store) == [seconds(T0) + 60 * k for k in range(10)] and store.watermark() == before["minute"]
+    assert store.observations().count() == 12
+    gone = store.retain(seconds(T0) + 4 * 86400)
+    assert [g for g in gone if g.startswith("raw/")] == ["raw/2026-03-02"]
+    store.ingest(frame(snapshot(4, 2)), 3)
+    assert minutes_of(spark, store) == [seconds(T0) + 60 * k for k in range(10)] and store.counters()["late"] == 2
+    store.ingest(frame(snapshot(3, 2), snapshot(far, 2)), 2)  # a batch again: the same bounds, the same rows
+    assert store.counters()["late"] == 2 and store.observations().count() == 2
+    assert store.rollup("rollup_1h").agg(F.sum("samples")).first()[0] == 10
+
+
+def test_raw_that_is_not_rolled_stays(spark, tmp_path):
+    store = stream.Store(spark, str(tmp_path / "s"), Config(sample_interval=60, rollup_min_backend_seconds=1))
+    store.ingest(spark.createDataFrame([snapshot(k, 1) for k in range(5)] + [snapshot(2000, 1)], stream.SNAPSHOT), 0, limit=3)
+    assert minutes_of(spark, store) == [seconds(T0) + 60 * k for k in range(3)]
+    assert store.catch_up(seconds(T0) + 2000 * 60, limit=10) == 10 and len(minutes_of(spark, store)) == 5
+    store._commit(store.state() | {"minute": seconds(T0) + 3000 * 60})  # as if a rollup folder had been lost
+    store._write(store.rollup("rollup_1m").filter("ts < 0"), "other", ["day", "batch"])
+    import shutil
+
+    shutil.rmtree(tmp_path / "s" / "rollup_1m")
+    with pytest.warns(UserWarning, match="not rolled up"):
+        assert not [g for g in store.retain(seconds(T0) + 20 * 86400) if g.startswith("raw/2026-03-02")]
+
+
+def test_compaction_keeps_the_rows(spark, tmp_path):
+    store = stream.Store(spark, str(tmp_path / "s"), Config(sample_interval=60, rollup_min_backend_seconds=1))
+    for k in range(3):
+        store.ingest(spark.createDataFrame([snapshot(k * 5 + j, 1) for j in range(5)], stream.SNAPSHOT), k)
+    store.ingest(spark.createDataFrame([snapshot(3000, 1)], stream.SNAPSHOT), 3)
+    with pytest.raises(ActivityError):
+        store.compact("raw", "2026-03-02")  # batch 3 may run again
+    store.ingest(spark.createDataFrame([snapshot(3001, 1)], stream.SNAPSHOT), 4)
+    want = sorted(tuple(r) for r in store.rollup("rollup_1m").drop("batch").collect())
+    for name in ("raw", "rollup_1m"):
+        store.compact(name, "2026-03-02")
+    assert sorted(tuple(r) for r in store.rollup("rollup_1m").drop("batch").collect()) == want and store.observations().count() == 17
+    assert len(list((tmp_path / "s" / "rollup_1m" / "day=2026-03-02").glob("batch=*"))) == 1
+    plan = store.history(END).minutes_in(seconds(T0), seconds(T0) + 60)._jdf.queryExecution().executedPlan().toString()
+    assert "day" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_slots_and_logging():
+    from tickfold.model import set_debug_logging, slots_for, slots_from
+
+    c = Config(num_partitions=6, current_slot=2)
+    assert slots_for(c) == slots_for(c, "4 days") == [2, 1, 0, 5, 4] and slots_from(c, "2026-03-01", "2026-03-02") == [2, 1, 0, 5, 4]
+    for look in ("5 days", -1):
+        with pytest.warns(UserWarning):
+            assert slots_for(c, look) == []
+    assert set_debug_logging(c)[1].endswith("off") and set_debug_logging(c, True)[0].debug_logging
+
+
+def test_slots_have_their_own_query_ids(spark):
+    rows = spark.createDataFrame([(1, 7), (1, 8), (2, 8), (2, 9), (2, 10)], "slot int, query_id long")
+    got = codec.register(spark.createDataFrame([], "id int, query_id long, slot int"), rows, ["query_id", "slot"], 2, "slot")
+    assert sorted((r["slot"], r["id"], r["query_id"]) for r in got.collect()) == [(1, 1, 7), (1, 2, 8), (2, 1, 8), (2, 2, 9)]
+    waits = spark.createDataFrame([(1, "active", "CPU*", "CPU*")], "id int, state string, type string, event string")
+    samples = spark.createDataFrame([(T0, "db", [-1, 1, 1])], "sample_ts timestamp_ntz, database string, data array<int>")
+    assert [codec.decode_sample(samples, waits, got, s).first()["query_id"] for s in (1, 2)] == [7, 8]
+    h = four_minutes(spark)
+    few = codec.build_dictionaries(h.rows())[0].filter("id < 3")
+    lost = codec.cap_hits(h.rows(), few, codec.build_dictionaries(h.rows())[1].filter("id < 2")).first()
+    assert lost["register_wait_cap_hits"] == 1 and lost["lost_sessions"] > 0 and lost["unnamed_sessions"] > 0
+
+
+def test_sql_calls(spark):
+    from tickfold import sql
+
+    h = four_minutes(spark, rolled=True)
+    window = f"since => '{T0.isoformat()}', until => '{END.isoformat()}'"
+    assert [r[0] for r in sql.query(h, f"SELECT key FROM top('wait_event_type', {window}, n => 2) ORDER BY pct DESC").collect()] == ["IO", "Lock"]
+    assert sql.query(h, f"SELECT avg_aas FROM aas({window}, wait_event => 'it''s (none)')").first()[0] == 0
+    assert sql.query(h, f"SELECT count(*) FROM periods('{END.isoformat()}') p JOIN status() s ON true WHERE p.period = '1m'").first()[0] > 10
+    assert sql.query(h, f"SELECT delta FROM compare('{T0.isoformat()}', '{(T0 + timedelta(minutes=2)).isoformat()}', '{(T0 + timedelta(minutes=2)).isoformat()}', '{END.isoformat()}')").first()[0] == 1.0
+    for name in ("chart", "report", "summary"):
+        assert sql.query(h, f"SELECT * FROM {name}({window})").count() > 0
+    with pytest.raises(ActivityError):
+        sql.query(h, "SELECT * FROM top(now())")

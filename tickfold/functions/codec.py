@@ -65,25 +65,63 @@ def encode(observations: DataFrame, waits: DataFrame, queries: DataFrame) -> Dat
     return packed.select("sample_ts", "database", "active_count", F.flatten(F.transform("parts", lambda p: p["part"])).alias("data"))
 
 
-def register(known: DataFrame, seen: DataFrame, names: list[str], cap: int) -> DataFrame:
-    """The dictionary known (id, *names) with new combinations of seen under the next ids, up to cap entries; what is over the cap stays unknown."""
+#: Entries of the two dictionaries at most: of waits, and of query ids in one slot.
+WAIT_CAP, QUERY_CAP = 32_000, 50_000
+SPREAD = 64
+
+
+def register(known: DataFrame, seen: DataFrame, names: list[str], cap: int, slot: str | None = None) -> DataFrame:
+    """The dictionary known (id, *names) with new combinations of seen under the next ids, up to cap entries; what is over the cap stays unknown (see cap_hits).
+
+    With slot, one of names, ids and the cap are those of each slot. New
+    combinations are cut to the cap in ``SPREAD`` parts before the rest, SPREAD *
+    cap rows at most, are numbered together.
+    """
     from pyspark.sql import Window
 
+    by = [slot] if slot else []
+    order = [n for n in names if n != slot]
     cond = [seen[n].eqNullSafe(known[n]) for n in names]
     fresh = seen.select(*names).distinct().join(known, cond, "left_anti")
-    last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    placed = fresh.withColumn("k", F.row_number().over(Window.orderBy(*names))).crossJoin(F.broadcast(last))  # at most cap rows count
-    return known.select("id", *names).unionByName(placed.filter(F.col("k") + F.col("last") <= cap).select((F.col("k") + F.col("last")).cast("int").alias("id"), *names))
+    last = known.groupBy(*by).agg(F.max("id").alias("last"))
+    spread = fresh.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
+    cut = spread.withColumn("k", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))).filter(F.col("k") <= cap).drop("k", "part")
+    placed = cut.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)))
+    placed = placed.join(F.broadcast(last), slot, "left") if by else placed.crossJoin(F.broadcast(last))
+    number = F.col("k") + F.coalesce("last", F.lit(0))
+    return known.select("id", *names).unionByName(placed.filter(number <= cap).select(number.cast("int").alias("id"), *names))
+
 
+def slot_of(config, day) -> Column:
+    """The slot of the ring that the day of an observation falls into."""
+    days = int(config.rotation_period.total_seconds()) // 86_400
+    return F.pmod(F.floor(F.datediff(F.to_date(day), F.lit("1970-01-01")) / days), F.lit(config.num_partitions)).cast("int")
 
-def build_dictionaries(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(waits, queries) with ids from 1 in the order of their names."""
+
+def build_dictionaries(observations: DataFrame, slot: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(waits, queries) with ids from 1 in the order of their names; with slot, a column of observations, query ids are numbered in each slot."""
     spark = observations.sparkSession
-    waits = register(spark.createDataFrame([], "id int, state string, type string, event string"), observations.select("state", F.col("wait_event_type").alias("type"), F.col("wait_event").alias("event")), ["state", "type", "event"], 32_000)
-    queries = register(spark.createDataFrame([], "id int, query_id long"), observations.filter("query_id is not null").select("query_id"), ["query_id"], 50_000)
+    waits = register(spark.createDataFrame([], "id int, state string, type string, event string"), observations.select("state", F.col("wait_event_type").alias("type"), F.col("wait_event").alias("event")), ["state", "type", "event"], WAIT_CAP)
+    names = ["query_id", slot] if slot else ["query_id"]
+    queries = register(spark.createDataFrame([], "id int, query_id long" + (f", {slot} int" if slot else "")), observations.filter("query_id is not null").select(*names), names, QUERY_CAP, slot)
     return waits, queries
 
 
+def cap_hits(observations: DataFrame, waits: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: register_wait_cap_hits (waits that the dictionary lacks), lost_sessions (rows of them, which encode leaves out) and unnamed_sessions (rows whose query id it lacks, which encode stores without one)."""
+    w = waits.select(F.col("state").alias("ws"), F.col("type").alias("wt"), F.col("event").alias("we"))
+    lost = observations.join(F.broadcast(w), (F.col("state") == F.col("ws")) & (F.col("wait_event_type") == F.col("wt")) & (F.col("wait_event") == F.col("we")), "left_anti")
+    sums = lost.agg(F.count_distinct("state", "wait_event_type", "wait_event").alias("register_wait_cap_hits"), F.count(F.lit(1)).alias("lost_sessions"))
+    on = [c for c in queries.columns if c not in ("id",)]
+    unnamed = observations.filter("query_id is not null").join(queries, on, "left_anti").agg(F.count(F.lit(1)).alias("unnamed_sessions"))
+    return sums.crossJoin(F.broadcast(unnamed))
+
+
+def decode_sample(samples: DataFrame, waits: DataFrame, queries: DataFrame, slot: int) -> DataFrame:
+    """decode with the query ids of one slot of the ring: the same map_id names other queries in another slot."""
+    return decode(samples, waits, queries.filter(F.col("slot") == slot).select("id", "query_id"))
+
+
 def decode(samples: DataFrame, waits: DataFrame, queries: DataFrame) -> DataFrame:
     """(sample_ts, database, wait_event, query_id, count): a row for each backend of well-formed samples; count is 1.
 

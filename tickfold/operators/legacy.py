@@ -119,16 +119,18 @@ def activity_summary(h: History, since, until) -> DataFrame:
 
 
 def timeline_chart(h: History, since, until, bucket="1 minute", top: int = 3, width: int = 40, color: bool = False) -> DataFrame:
-    return render.chart(h, since, until, bucket, top, width, color)
+    """bucket_start, active, detail, chart: the chart under the names of its first form, where the load column is called active."""
+    return render.chart(h, since, until, bucket, top, width, color).withColumnRenamed("aas", "active")
 
 
 def samples(h: History, since, until, limit: int = 100) -> DataFrame:
-    return readers.samples(h, since, until, limit)
+    """sample_time, database_name, active_backends, wait_event, query_id, query_text; the newest first, background rows under a name of their own."""
+    return readers.samples(h, since, until, limit).withColumn("database_name", F.coalesce("database_name", F.lit("<background>")))
 
 
 def minute_waits(h: History, since, until, limit: int = 10) -> DataFrame:
     """minute, wait_event, samples: the leading waits of each stored minute."""
-    rows = h.minutes.filter((F.col("ts") >= floor_to(seconds(since), MINUTE)) & (F.col("ts") < seconds(until))).select("ts", F.inline("wait_counts"))
+    rows = h.minutes_in(floor_to(seconds(since), MINUTE), seconds(until)).select("ts", F.inline("wait_counts"))
     counts = rows.groupBy("ts", display(F.col("type"), F.col("event")).alias("wait_event")).agg(F.sum("cnt").alias("samples"))
     order = Window.partitionBy("ts").orderBy(F.col("samples").desc(), "wait_event")
     return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select(as_time(F.col("ts")).alias("minute"), "wait_event", "samples")
@@ -136,7 +138,7 @@ def minute_waits(h: History, since, until, limit: int = 10) -> DataFrame:
 
 def hourly_queries(h: History, since, until, limit: int = 10) -> DataFrame:
     """hour, query_id, backend_seconds, avg_backends: the leading queries of each stored hour; the average is over its samples."""
-    rows = h.hours.filter((F.col("ts") >= floor_to(seconds(since), HOUR)) & (F.col("ts") < seconds(until)))
+    rows = h.hours_in(floor_to(seconds(since), HOUR), seconds(until))
     ticks = rows.groupBy("ts").agg(F.max("samples").alias("ticks"))
     counts = rows.select("ts", F.inline("query_counts")).groupBy("ts", "query_id").agg(F.sum("cnt").alias("n"))
     order = Window.partitionBy("ts").orderBy(F.col("n").desc(), "query_id")
@@ -146,5 +148,5 @@ def hourly_queries(h: History, since, until, limit: int = 10) -> DataFrame:
 
 def daily_peak_backends(h: History, since, until) -> DataFrame:
     """day, database, peak_backends from the hours."""
-    rows = h.hours.filter((F.col("ts") >= floor_to(seconds(since), DAY)) & (F.col("ts") < seconds(until)))
+    rows = h.hours_in(floor_to(seconds(since), DAY), seconds(until))
     return rows.groupBy(floor_col(F.col("ts"), DAY).alias("d"), "database").agg(F.max("peak_backends").alias("peak_backends")).select(as_time(F.col("d")).alias("day"), "database", "peak_backends")

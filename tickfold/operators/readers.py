@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..history import History
 from ..model import HOUR, MINUTE, ActivityError, as_time, display, floor_col, floor_to, r2, seconds
-from ..plans.planner import DIMENSIONS, ORDERS, Filters, ReadPlan, auto_bucket, check_bucket_count, plan, resolve_window
+from ..plans.planner import DIMENSIONS, ORDERS, Filters, ReadPlan, Window, auto_bucket, check_bucket_count, plan, resolve_window
 from .grains import grain_by, grain_counts, wait_matches
 
 PERIODS = {"1m": MINUTE, "5m": 5 * MINUTE, "1h": HOUR, "1d": 24 * HOUR, "1w": 7 * 24 * HOUR, "1mo": 30 * 24 * HOUR}
@@ -82,13 +82,27 @@ def timeline(h: History, since=None, until=None, bucket=None, wait_event_type=No
 
 
 def periods(h: History, until=None) -> DataFrame:
-    """aas over the usual trailing windows, one row each."""
+    """aas over the usual trailing windows, one row each; windows that read the same source share one scan, of the longest."""
     end = h.as_of if until is None else seconds(until)
-    out = None
-    for name, size in PERIODS.items():
-        row = aas(h, end - size, end).select(F.lit(name).alias("period"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    plans = {name: _plan(h, "aas", end - size, end, MINUTE, Filters()) for name, size in PERIODS.items()}
+    found = None
+    for source, bucket in dict.fromkeys((p.read_source, p.bucket) for p in plans.values()):
+        alike = {n: p.window for n, p in plans.items() if (p.read_source, p.bucket) == (source, bucket)}
+        widest = Window(min(w.start for w in alike.values()), max(w.end for w in alike.values()))
+        rows = grain_counts(h, widest, source, Filters(), bucket)
+        windows = F.array(*[F.struct(F.lit(n).alias("period"), F.lit(w.start).alias("lo"), F.lit(w.end).alias("hi")) for n, w in alike.items()])
+        each = rows.select("ts", "cnt", F.explode(F.filter(windows, lambda w: (F.col("ts") + bucket > w["lo"]) & (F.col("ts") < w["hi"]))).alias("w"))
+        load = F.col("cnt").cast("double") * h.interval / (F.least(F.col("ts") + bucket, F.col("w.hi")) - F.greatest(F.col("ts"), F.col("w.lo")))
+        part = each.groupBy(F.col("w.period").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"), F.max(load).alias("peak"), F.percentile(load, F.lit(0.99)).alias("p99"))
+        found = part if found is None else found.unionByName(part)
+    facts = [(i, n, p.window.start, p.window.end, p.source, p.bucket, p.buckets_expected, p.extrema) for i, (n, p) in enumerate(plans.items())]
+    frame = h.spark.createDataFrame(facts, "place int, period string, lo long, hi long, source string, bucket long, expected long, extrema boolean")
+    total = F.coalesce("cnt", F.lit(0)).cast("double") * h.interval
+    extreme = lambda c: F.when(F.col("extrema"), F.coalesce(r2(F.col(c)), F.lit(0.0)))
+    return frame.join(found, F.col("period") == F.col("k"), "left").orderBy("place").select(
+        "period", as_time(F.col("lo")).alias("period_start"), as_time(F.col("hi")).alias("period_end"), "source", F.col("bucket").alias("effective_bucket_secs"), F.col("expected").alias("buckets_expected"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("buckets_with_data"), r2(total / (F.col("hi") - F.col("lo"))).alias("avg_aas"), extreme("peak").alias("peak_aas"), extreme("p99").alias("p99_aas"), r2(total).alias("backend_seconds"),
+    )
 
 
 def _keyed(h: History, p: ReadPlan, dimension: str, f: Filters) -> tuple[DataFrame, DataFrame, DataFrame]:

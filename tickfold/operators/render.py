@@ -14,12 +14,12 @@ from . import readers
 from .grains import grain_by
 
 MAX_WIDTH = 500
-GLYPHS, OTHER = ("█", "▓", "░", "▒"), "·"
-#: Colours of wait names by how they begin, as red, green, blue.
+#: The marks of a chart's series, and the colours of wait names by how they begin, as red, green, blue.
 COLORS = {
     "CPU": (80, 250, 123), "IdleTx": (241, 250, 140), "IO:": (30, 100, 255), "Lock:": (255, 85, 85), "LWLock:": (255, 121, 198), "IPC:": (0, 200, 255),
     "Client:": (255, 220, 100), "Timeout:": (255, 165, 0), "BufferPin:": (0, 210, 180), "Activity:": (150, 100, 255), "Extension:": (190, 150, 255),
 }
+GLYPHS, OTHER = ("█", "▓", "░", "▒"), "·"
 UNKNOWN = (180, 180, 180)
 
 
@@ -79,35 +79,57 @@ def chart_series(buckets: DataFrame, n: int) -> DataFrame:
     return ranked.join(lead, "event", "left").filter((F.col("place") <= max(n, 0)) | F.col("lead")).drop("lead")
 
 
+CHART = "bucket_start timestamp_ntz, aas double, detail string, chart string"
+
+
 def chart(h: History, since=None, until=None, bucket=None, n: int = 3, width: int = 40, color: bool = False) -> DataFrame:
-    """bucket_start, aas, detail, chart: a legend row, then a stacked bar for each bucket, relative to the largest."""
+    """bucket_start, aas, detail, chart: a legend row, then a stacked bar for each bucket, relative to the largest.
+
+    A picture of at most MAX_BUCKETS lines: they are made on the cluster, by bucket
+    and in long form whatever the number of series, and handed back as they are.
+    """
     on, width = color or h.config.color, clamp(width)
     buckets, w, size = chart_buckets(h, since, until, bucket)
     buckets = buckets.cache()
-    schema = "bucket_start timestamp_ntz, aas double, detail string, chart string"
-    names = [r["event"] for r in chart_series(buckets, n).orderBy("place").collect()]  # bounded by the kinds of wait events
+    try:
+        names = [r["event"] for r in chart_series(buckets, n).orderBy("place").collect()]  # bounded by the kinds of wait events
+        lines = _chart_lines(h, buckets, w, size, names, width, on).collect() if names else []
+    finally:
+        buckets.unpersist()
+    if not lines:
+        return h.spark.createDataFrame([], CHART)
+    legend = _legend(names, on)
+    rows = [(None, None, None, legend), *((r["bucket_start"], r["aas"], r["detail"], r["chart"].ljust(len(legend))) for r in sorted(lines, key=lambda r: r["bucket_start"]))]
+    return h.spark.createDataFrame(rows, CHART).orderBy(F.col("bucket_start").asc_nulls_first())
+
+
+def _glyph(place: int) -> str:
+    return GLYPHS[min(place, len(GLYPHS) - 1)]
+
+
+def _legend(names: list[str], on: bool) -> str:
+    return "  ".join(f"{color_of(e, on)}{g}{reset(on)} {e}" for e, g in [*((e, _glyph(i)) for i, e in enumerate(names)), ("Other", OTHER)])
+
+
+def _chart_lines(h: History, buckets: DataFrame, w: Window, size: int, names: list[str], width: int, on: bool) -> DataFrame:
+    """(bucket_start, aas, detail, chart) of each bucket of the window; none if nothing was counted."""
+    series = h.spark.createDataFrame([(e, i, color_of(e, on) + _glyph(i)) for i, e in enumerate(names)], "event string, place int, mark string")
     secs = F.least(F.col("bstart") + size, F.lit(w.end)) - F.greatest(F.col("bstart"), F.lit(w.start))
     load = lambda c: c.cast("double") * h.interval / secs
-    most = buckets.groupBy("bstart").agg(F.sum("cnt").alias("cnt")).select(F.max(load(F.col("cnt"))).alias("m")).first()["m"] if names else None
-    if not most:
-        return h.spark.createDataFrame([], schema)
-    glyph = [GLYPHS[min(i, len(GLYPHS) - 1)] for i in range(len(names))]
-    legend = "  ".join([*(f"{color_of(e, on)}{g}{reset(on)} {e}" for e, g in zip(names, glyph, strict=True)), f"{color_of('Other', on)}{OTHER}{reset(on)} Other"])
-    sums = buckets.groupBy("bstart").agg(F.sum("cnt").alias("all"), *[F.sum(F.when(F.col("event") == e, F.col("cnt"))).alias(f"e{i}") for i, e in enumerate(names)])
-    series = h.spark.range(floor_to(w.start, size), w.end, size).withColumnRenamed("id", "bstart")
-    wide = series.join(sums, "bstart", "left").select("bstart", r2(F.coalesce(load(F.col("all")), F.lit(0.0))).alias("total"), *[r2(F.coalesce(load(F.col(f"e{i}")), F.lit(0.0))).alias(f"v{i}") for i in range(len(names))])
-    shown = sum((F.col(f"v{i}") for i in range(len(names))), F.lit(0.0))
-    wide = wide.withColumn("rest", F.greatest(r2(F.col("total") - shown), F.lit(0.0)))
-    parts, texts = [], []
-    for name, g, c in [*((e, g, f"v{i}") for i, (e, g) in enumerate(zip(names, glyph, strict=True))), ("Other", OTHER, "rest")]:
-        count = F.round(F.col(c) / F.lit(most) * width).cast("int")
-        parts.append(F.when(count > 0, F.concat(F.lit(color_of(name, on)), F.repeat(F.lit(g), count), F.lit(reset(on)))).otherwise(F.lit("")))
-        texts.append(F.when(F.col(c) > 0, F.concat(F.lit(f"{name}="), F.format_string("%.2f", F.col(c)))))
-    stacked = F.concat(*parts)
-    padded = F.when(F.char_length(stacked) < len(legend), F.rpad(stacked, len(legend), " ")).otherwise(stacked)
-    body = wide.select(as_time(F.col("bstart")).alias("bucket_start"), F.col("total").alias("aas"), F.concat_ws(" ", *texts).alias("detail"), padded.alias("chart"))
-    head = h.spark.createDataFrame([(None, None, None, legend)], schema)
-    return head.unionByName(body).orderBy(F.col("bucket_start").asc_nulls_first())
+    cells = buckets.join(F.broadcast(series), "event", "left")
+    named = F.when(F.col("place").isNotNull(), F.struct("place", "event", "mark", r2(load(F.col("cnt"))).alias("v")))
+    sums = cells.groupBy("bstart").agg(F.sum("cnt").alias("cnt"), F.array_sort(F.collect_list(named)).alias("parts"))
+    sums = sums.withColumn("load", load(F.col("cnt"))).withColumn("total", r2(F.col("load")))
+    rest = F.greatest(r2(F.col("total") - F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["v"])), F.lit(0.0))
+    other = F.struct(F.lit(len(names)).alias("place"), F.lit("Other").alias("event"), F.lit(color_of("Other", on) + OTHER).alias("mark"), rest.alias("v"))
+    whole = sums.withColumn("parts", F.concat("parts", F.array(other))).crossJoin(F.broadcast(sums.agg(F.max("load").alias("most")).filter("most > 0")))
+    skip = len(color_of("Other", on))  # a colour is as long whatever it is
+    count = lambda p: F.round(p["v"] / F.col("most") * width).cast("int")
+    drawn = lambda p: F.when(count(p) > 0, F.concat(F.substring(p["mark"], 1, skip), F.repeat(F.substring(p["mark"], skip + 1, 1), count(p)), F.lit(reset(on)))).otherwise(F.lit(""))
+    told = F.transform(F.filter("parts", lambda p: p["v"] > 0), lambda p: F.concat(p["event"], F.lit("="), F.format_string("%.2f", p["v"])))
+    lines = whole.select("bstart", "total", F.array_join(told, " ").alias("detail"), F.array_join(F.transform("parts", drawn), "").alias("chart"))
+    frame = h.spark.range(floor_to(w.start, size), w.end, size).withColumnRenamed("id", "bstart").crossJoin(F.broadcast(whole.select("most").limit(1)))
+    return frame.join(lines, "bstart", "left").select(as_time(F.col("bstart")).alias("bucket_start"), F.coalesce("total", F.lit(0.0)).alias("aas"), F.coalesce("detail", F.lit("")).alias("detail"), F.coalesce("chart", F.lit("")).alias("chart"))
 
 
 def summary(h: History, since=None, until=None) -> DataFrame:
@@ -144,4 +166,5 @@ def status(h: History) -> DataFrame:
         out += [(f"{name}_rows", str(r["n"]))] + ([(f"{name}_oldest", time(r["a"])), (f"{name}_newest", time(r["b"]))] if r["n"] else [])
         out += [(f"{name}_retention", f"{days} days"), (f"{name}_retention_start", time(r["a"]) or "no rollups")]
     out += [("last_rollup_1m_ts", time(h.minute_watermark)), ("last_rollup_1h_ts", time(h.hour_watermark)), ("raw_retention_start", time(h.stats.raw_start) or "no samples")]
+    out += [("debug_logging", str(c.debug_logging).lower()), *((k, str(v)) for k, v in sorted(h.counters.items()))]
     return h.spark.createDataFrame(out, "metric string, value string")

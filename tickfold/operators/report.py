@@ -24,7 +24,7 @@ SETS = ("worst1m", "p99", "p999")
 
 def class_series(h: History, w: Window) -> DataFrame:
     """(class, ts, aas): a row per class, total among them, and stored minute."""
-    rows = h.minutes.filter((F.col("ts") >= w.start) & (F.col("ts") < w.end))
+    rows = h.minutes_in(w.start, w.end)
     of = lambda kind: F.aggregate("wait_counts", F.lit(0).cast("long"), lambda a, p: a + F.when(p["type"] == kind, p["cnt"]).otherwise(F.lit(0)))
     wide = rows.groupBy("ts").agg(*[F.sum(of(kind)).alias(k) for k, kind in CLASSES.items()])
     wide = wide.withColumn("total", sum((F.col(k) for k in CLASSES), F.lit(0)))
@@ -64,7 +64,7 @@ def _leading(counts: DataFrame, mins: DataFrame, name: str, interval: float, n:
 def top_events(h: History, w: Window, mins: DataFrame, n: int) -> DataFrame:
     """Leading events, by their bare name, of the classes whose events tell something (not cpu, not total)."""
     kinds = [k for k in CLASSES if k != "cpu"]
-    rows = h.minutes.filter((F.col("ts") >= w.start) & (F.col("ts") < w.end)).select("ts", F.inline("wait_counts"))
+    rows = h.minutes_in(w.start, w.end).select("ts", F.inline("wait_counts"))
     named = rows.withColumn("class", F.coalesce(*[F.when(F.col("type") == CLASSES[k], k) for k in kinds])).filter("class is not null")
     mins = mins.filter(F.col("class").isin(*kinds))
     return _leading(named.join(mins, ["class", "ts"]).select("set", "class", "event", "cnt"), mins, "event", h.interval, n)
