@@ -11,12 +11,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql as sql_access
 from .functions import codec
 from .history import History
-from .model import CLASSES, Config, as_time, r2, seconds
+from .model import CLASSES, Config, as_time, literal_time, r2, seconds, slots_for
 from .operators import grains, legacy, readers, render, report, rollup
-from .plans.planner import Filters, SourceStats, Window
+from .plans.planner import Filters, SourceStats, Window, pick_source, pick_source_agg
+from .sources import activity
 from .sources.activity import from_events
+from .sources.scratch import scratch_path, stored
+from .streaming import stream
 
 START, MIDDLE, END = (seconds(datetime(2024, m, d)) for m, d in ((1, 1), (1, 16), (2, 1)))
 WHOLE = Window(START, END)
@@ -52,20 +56,44 @@ def history(spark: SparkSession, sf_dir: str) -> History:
     return History(spark, lambda lo, hi: from_events(events, lo, hi), END, config=CONFIG, stats=SourceStats(raw_oldest=START))
 
 
+_rolled: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_stores: dict[tuple, stream.Store] = {}
+
+
+def as_it_is(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the events from another: path, time and size of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, path.toString(), fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()
+
+
+def rolled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both rollups of a table of events, as the store would hold them: made once for the table as it is, then read."""
+    key = as_it_is(spark, sf_dir)
+    if key not in _rolled:
+        minutes = stored(rollup.roll_minutes(history(spark, sf_dir).rows(), CONFIG).repartitionByRange("ts").sortWithinPartitions("ts"), "rollup_1m")
+        _rolled[key] = minutes, stored(rollup.roll_hours(minutes).repartitionByRange("ts").sortWithinPartitions("ts"), "rollup_1h")
+    return _rolled[key]
+
+
 def minutes_history(spark: SparkSession, sf_dir: str) -> History:
-    mins = rollup.roll_minutes(history(spark, sf_dir).rows(), CONFIG)
-    return History(spark, None, END, mins, None, CONFIG, stats=SourceStats(minute_oldest=START, minute_watermark=END))
+    return History(spark, None, END, rolled(spark, sf_dir)[0], None, CONFIG, stats=SourceStats(minute_oldest=START, minute_watermark=END))
 
 
 def hours_history(spark: SparkSession, sf_dir: str) -> History:
-    hours = rollup.roll_hours(minutes_history(spark, sf_dir).minutes)
-    return History(spark, None, END, None, hours, CONFIG, stats=SourceStats(hour_oldest=START))
+    return History(spark, None, END, None, rolled(spark, sf_dir)[1], CONFIG, stats=SourceStats(hour_oldest=START))
 
 
-def full_history(spark: SparkSession, sf_dir: str) -> History:
+def rolling_history(spark: SparkSession, sf_dir: str) -> History:
+    """As minutes_history and hours_history together, with the rollups made in the query itself."""
     h = history(spark, sf_dir)
     mins = rollup.roll_minutes(h.rows(), CONFIG)
-    return History(spark, h._observations, END, mins, rollup.roll_hours(mins), CONFIG, minute_watermark=END, stats=SourceStats(raw_oldest=START, minute_oldest=START, hour_oldest=START, minute_watermark=END))
+    return History(spark, h._observations, END, mins, rollup.roll_hours(mins), CONFIG, stats=SourceStats(raw_oldest=START, minute_oldest=START, hour_oldest=START, minute_watermark=END))
+
+
+def full_history(spark: SparkSession, sf_dir: str) -> History:
+    h, (mins, hours) = history(spark, sf_dir), rolled(spark, sf_dir)
+    return History(spark, h._observations, END, mins, hours, CONFIG, minute_watermark=END, stats=SourceStats(raw_oldest=START, minute_oldest=START, hour_oldest=START, minute_watermark=END))
 
 
 def add(name: str, sql: str | None = None, using=history):
@@ -226,8 +254,8 @@ w AS (SELECT b, database, state, type, event, count(*) AS cnt FROM b GROUP BY AL
 SELECT {sql_time("w.b")} AS t, w.database, samples, peak_backends, state, type, event, cnt FROM w JOIN
 (SELECT b, database, CAST(count(*) AS INTEGER) AS samples, CAST({peak} AS INTEGER) AS peak_backends FROM tick GROUP BY ALL) p ON p.b = w.b AND p.database = w.database"""
 
-    add("rollup_1m", sql_rollup(60), minutes_history)(lambda h: waits(h.minutes))
-    add("rollup_1h", sql_rollup(3600), hours_history)(lambda h: waits(h.hours))
+    add("rollup_1m", sql_rollup(60), rolling_history)(lambda h: waits(h.minutes))
+    add("rollup_1h", sql_rollup(3600), rolling_history)(lambda h: waits(h.hours))
     add("rollup_1m_queries", f", q AS (SELECT m, database, query_id, count(*) AS cnt FROM o WHERE query_id IS NOT NULL GROUP BY ALL) SELECT {sql_time('m')} AS t, database, query_id, cnt FROM q QUALIFY row_number() OVER (PARTITION BY m, database ORDER BY cnt DESC, query_id) <= 100", minutes_history)(
         lambda h: h.minutes.select(as_time(F.col("ts")).alias("t"), "database", F.inline("query_counts"))
     )
@@ -279,33 +307,102 @@ def _register_report() -> None:
     ids = SETS + f""", ev AS (SELECT "set", sets.class, query_id, count(*) AS cnt FROM sets JOIN o ON o.m = sets.m AND (({CLASS_SQL} = sets.class AND sets.class <> 'cpu') OR (sets.class = 'total' AND {CLASS_SQL} IS NOT NULL))
 WHERE query_id IS NOT NULL GROUP BY ALL) """
     add("report_top_queryids", ids + tail.format("query_id"), full_history)(lambda h: report.top_queries(h, WHOLE, extremes(h), 3))
-    add("report_json", None, full_history)(lambda h: report.report_json(h, START, END, vcpus=8))
+    lead = """, lead AS (SELECT e."set", e.class, name, cnt, n.n AS mins, row_number() OVER (PARTITION BY e."set", e.class ORDER BY cnt DESC, name) AS place FROM ev e JOIN n ON n."set" = e."set" AND n.class = e.class),
+shown AS (SELECT "set", class, string_agg(CAST(name AS VARCHAR) || '(' || printf('%.1f', {r}) || ')', ', ' ORDER BY place) AS value FROM lead WHERE place <= 3 GROUP BY ALL)""".replace("{r}", sql_r2("cnt * CAST(60 AS DOUBLE) / (mins * 60)", 1))
+    both = SETS + f""", ev AS (SELECT "set", sets.class, event AS name, count(*) AS cnt FROM sets JOIN o ON o.m = sets.m AND {CLASS_SQL} = sets.class WHERE sets.class NOT IN ('cpu', 'total') GROUP BY ALL)""" + lead
+    ids_ev = f""", evq AS (SELECT "set", sets.class, query_id AS name, count(*) AS cnt FROM sets JOIN o ON o.m = sets.m AND (({CLASS_SQL} = sets.class AND sets.class <> 'cpu') OR (sets.class = 'total' AND {CLASS_SQL} IS NOT NULL))
+WHERE query_id IS NOT NULL GROUP BY ALL)""" + lead.replace("lead", "leadq").replace("shown", "shownq").replace("FROM ev ", "FROM evq ")
+    kinds = ", ".join(f"'{k}'" for k in CLASSES if k != "cpu")
+    numbers = " UNION ALL ".join(f"""SELECT 'aas_{k}' AS section, class AS item, printf('%.2f', {sql_r2(c)}) AS value FROM st""" for k, c in (("avg", "a"), ("worst1m", "w"), ("p99", "p99"), ("p999", "p999")))
+    cover = {"from": "'2024-01-01T00:00:00+00:00'", "to": "'2024-02-01T00:00:00+00:00'", "source": "'rollup_1m'", "minutes_expected": f"'{(END - START) // 60}'", "minutes_with_data": "(SELECT CAST(count(*) AS VARCHAR) FROM mins)", "raw_retention_start": "'2024-01-01T00:00:00+00:00'"}
+    add("report", both + ids_ev + f""" SELECT 'vcpus' AS section, '' AS item, '8' AS value UNION ALL {numbers}
+UNION ALL SELECT 'top_events_' || s.s, c.c, coalesce(shown.value, '') FROM (SELECT unnest(['worst1m', 'p99', 'p999']) AS s) s CROSS JOIN (SELECT unnest([{kinds}]) AS c) c LEFT JOIN shown ON shown."set" = s.s AND shown.class = c.c
+UNION ALL SELECT 'top_queryids_' || n."set", n.class, coalesce(shownq.value, '') FROM n LEFT JOIN shownq ON shownq."set" = n."set" AND shownq.class = n.class WHERE n.class <> 'cpu'
+UNION ALL SELECT 'top_queryids_available', '', 'true' """ + " ".join(f"UNION ALL SELECT 'coverage', '{k}', {v}" for k, v in cover.items()), full_history)(lambda h: report.report_rows(h, START, END, vcpus=8))
 
     cells = f", bk AS (SELECT m - m % 3600 AS bs, wait AS event, count(*) AS cnt FROM o GROUP BY ALL)"  # noqa: F541
     add("chart_buckets", cells + f" SELECT {sql_time('bs')} AS bucket_start, event, cnt FROM bk")(lambda h: render.chart_buckets(h, START, END, 3600)[0].select(as_time(F.col("bstart")).alias("bucket_start"), "event", "cnt"))
     add("chart_series", cells + """, tot AS (SELECT event, sum(cnt) AS tot, row_number() OVER (ORDER BY sum(cnt) DESC, event) AS place FROM bk GROUP BY event),
 lead AS (SELECT DISTINCT event FROM (SELECT event, row_number() OVER (PARTITION BY bs ORDER BY cnt DESC, event) AS r FROM bk) WHERE r = 1)
 SELECT event, CAST(tot AS BIGINT) AS tot, CAST(place AS INTEGER) AS place FROM tot WHERE place <= 2 OR event IN (SELECT event FROM lead)""")(lambda h: render.chart_series(render.chart_buckets(h, START, END, 3600)[0], 2))
-    add("chart")(lambda h: render.chart(h, START, END, 3600))
-    add("summary")(lambda h: render.summary(h, START, END))
-    add("status", None, full_history)(render.status)
+    add("chart", sql_chart(3600))(lambda h: render.chart(h, START, END, 3600))
+    add("summary", sql_summary())(lambda h: render.summary(h, START, END))
+    add("status", sql_status(), full_history)(render.status)
+
+
+def sql_chart(size: int, load: str = "aas", n: int = 3, width: int = 40) -> str:
+    glyph = "CASE place WHEN 1 THEN '█' WHEN 2 THEN '▓' WHEN 3 THEN '░' ELSE '▒' END"
+    return f""", bk AS (SELECT m - m % {size} AS bs, wait AS event, count(*) AS cnt FROM o GROUP BY ALL),
+tot AS (SELECT event, row_number() OVER (ORDER BY sum(cnt) DESC, event) AS place FROM bk GROUP BY event),
+ld AS (SELECT DISTINCT event FROM (SELECT event, row_number() OVER (PARTITION BY bs ORDER BY cnt DESC, event) AS r FROM bk) WHERE r = 1),
+ser AS (SELECT event, row_number() OVER (ORDER BY place) AS place FROM tot WHERE place <= {n} OR event IN (SELECT event FROM ld)),
+legend AS (SELECT string_agg({glyph} || ' ' || event, '  ' ORDER BY place) || '  · Other' AS l FROM ser),
+sums AS (SELECT bs, sum(cnt) * CAST(60 AS DOUBLE) / {sql_secs(size)} AS load FROM bk GROUP BY bs), most AS (SELECT max(load) AS most FROM sums),
+cell AS (SELECT bk.bs, place, bk.event, {glyph} AS g, {sql_r2(f"cnt * CAST(60 AS DOUBLE) / {sql_secs(size, b='bk.bs')}")} AS v FROM bk JOIN ser ON ser.event = bk.event),
+rest AS (SELECT sums.bs, 1000 AS place, 'Other' AS event, '·' AS g, greatest({sql_r2(f"{sql_r2('any_value(load)')} - coalesce(sum(v), 0)")}, 0) AS v FROM sums LEFT JOIN cell ON cell.bs = sums.bs GROUP BY sums.bs),
+parts AS (SELECT * FROM cell UNION ALL SELECT * FROM rest),
+lines AS (SELECT bs, string_agg(CASE WHEN v > 0 THEN event || '=' || printf('%.2f', v) END, ' ' ORDER BY place) AS detail, string_agg(repeat(g, CAST(round(v / most * {width}) AS INTEGER)), '' ORDER BY place) AS bar FROM parts, most GROUP BY bs),
+t AS (SELECT unnest(range({START}, {END}, {size})) AS bs)
+SELECT CAST(NULL AS TIMESTAMP) AS bucket_start, CAST(NULL AS DOUBLE) AS {load}, CAST(NULL AS VARCHAR) AS detail, l AS chart FROM legend
+UNION ALL SELECT {sql_time('t.bs')}, coalesce({sql_r2('load')}, 0.0), coalesce(detail, ''), rpad(coalesce(bar, ''), CAST(greatest(length(l), length(coalesce(bar, ''))) AS INTEGER), ' ') FROM t LEFT JOIN sums ON sums.bs = t.bs LEFT JOIN lines ON lines.bs = t.bs, legend"""
+
+
+def sql_summary() -> str:
+    two = lambda c: f"printf('%.2f', {c})"
+    lead = lambda name, key: f"SELECT '{name}_' || place, {key} || ' (avg_aas ' || printf('%.2f', {sql_r2(f'n * CAST(60 AS DOUBLE) / {END - START}')}) || ', ' || printf('%.2f', {sql_r2('n * CAST(100 AS DOUBLE) / alln')}) || '%)'"
+    times = {"period_start": START, "period_end": END}
+    at = lambda t: f"'{datetime.utcfromtimestamp(t)}'"
+    rows = [f"SELECT '{k}' AS metric, {at(v)} AS value" for k, v in times.items()] + ["SELECT 'source', 'raw'", "SELECT 'buckets_with_data', CAST(buckets_with_data AS VARCHAR) FROM a"]
+    rows += [f"SELECT '{c}', {two(c)} FROM a" for c in ("avg_aas", "peak_aas", "p99_aas", "backend_seconds")]
+    rows += ["SELECT 'drill_source', 'raw'", *[f"SELECT 'drill_{k}', {at(v)}" for k, v in times.items()], "SELECT 'drill_effective_bucket', '60'", "SELECT 'databases_active', CAST(count(DISTINCT database) AS VARCHAR) FROM o"]
+    rows += [f"""{lead("top_wait", "key")} FROM (SELECT wait AS key, count(*) AS n, sum(count(*)) OVER () AS alln, row_number() OVER (ORDER BY count(*) DESC, wait) AS place FROM o GROUP BY wait) WHERE place <= 3"""]
+    rows += [f"""{lead("top_query", "coalesce(CAST(key AS VARCHAR), '(other / unattributed)')")} FROM (SELECT query_id AS key, count(*) AS n, sum(count(*)) OVER () AS alln, row_number() OVER (ORDER BY count(*) DESC, CAST(query_id AS VARCHAR) NULLS LAST) AS place FROM o GROUP BY query_id) WHERE place <= 3"""]
+    return f", a AS ({sql_aas(60)}) " + " UNION ALL ".join(rows)
+
+
+def sql_status() -> str:
+    text = lambda c: f"CAST({c} AS VARCHAR)"
+    when = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    c, days = CONFIG, CONFIG.rotation_period.days
+    fixed = {
+        "color": "off", "num_partitions": c.num_partitions, "sampling_enabled": "true", "current_slot": 0, "sample_interval_secs": "60", "rotation_period_days": days, "raw_retention_days": (c.num_partitions - 2) * days,
+        "include_bg_workers": "false", "rollup_1m_retention": f"{c.rollup_1m_retention_days} days", "rollup_1h_retention": f"{c.rollup_1h_retention_days} days", "debug_logging": "false",
+    }
+    rows = [f"SELECT '{k}' AS metric, '{v}' AS value" for k, v in fixed.items()] + ["SELECT 'rotated_at', NULL", "SELECT 'last_rollup_1h_ts', NULL", "SELECT 'last_rollup_1m_ts', '2024-02-01 00:00:00'", "SELECT 'raw_retention_start', '2024-01-01 00:00:00'"]
+    rows += [f"SELECT 'last_sample_ts', {when('max(sample_ts)')} FROM o", "SELECT 'samples_total', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT s, database FROM o)"]
+    rows += ["SELECT 'wait_event_map_count', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT state, type, event FROM o)", "SELECT 'wait_event_map_utilization', printf('%.2f%%', count(*) / 320.0) FROM (SELECT DISTINCT state, type, event FROM o)", "SELECT 'query_map_count', CAST(count(DISTINCT query_id) AS VARCHAR) FROM o"]
+    for name, b in (("rollup_1m", "m"), ("rollup_1h", "m - m % 3600")):
+        rows += [f"SELECT '{name}_{k}', {v} FROM (SELECT {b} AS b, database FROM o GROUP BY ALL)" for k, v in (("rows", text("count(*)")), ("oldest", when(sql_time("min(b)"))), ("newest", when(sql_time("max(b)"))), ("retention_start", when(sql_time("min(b)"))))]
+    return " " + " UNION ALL ".join(rows)
 
 
 # 1.x readers and the codec
 
 
 def _register_legacy() -> None:
-    shares = lambda key, cond, order, n="": f", c AS (SELECT {key} AS key, count(*) AS samples FROM o WHERE {cond} GROUP BY 1) SELECT key AS {order}, samples, {sql_r2('samples * CAST(100 AS DOUBLE) / (SELECT sum(samples) FROM c)')} AS pct FROM c {n}"
-    plain = ["wait_event", "samples", "pct"]
-    add("legacy_top_waits_other", f""", c AS (SELECT wait, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, wait) AS r, count(*) OVER () AS kinds FROM o GROUP BY wait)
-SELECT CASE WHEN r < 3 THEN wait ELSE 'Other' END AS wait_event, CAST(sum(n) AS BIGINT) AS samples, {sql_r2("sum(n) * CAST(100 AS DOUBLE) / (SELECT sum(n) FROM c)")} AS pct FROM c GROUP BY 1""")(lambda h: legacy.top_waits(h, START, END, 3).select(*plain))
-    add("legacy_histogram", shares("wait", "true", "wait_event"))(lambda h: legacy.histogram(h, START, END, 100).select(*plain))
+    bar = "rpad(repeat('█', greatest(1, coalesce(CAST(round(pct / nullif(most, 0) * 40) AS INTEGER), 1))), 40, ' ') || lpad(printf('%.2f%%', pct), 8, ' ')"
+
+    def shares(key: str, cond: str, name: str, tail: str = "", barred: bool = True) -> str:
+        """Counts by key; bars are as long as their share in the largest share, of all rows before tail cuts them."""
+        pct = sql_r2("samples * CAST(100 AS DOUBLE) / (SELECT sum(samples) FROM c)")
+        cols = f"key AS {name}, samples, pct" + (f", {bar} AS bar" if barred else "")
+        return f", c AS (SELECT {key} AS key, count(*) AS samples FROM o WHERE {cond} GROUP BY 1), p AS (SELECT *, {pct} AS pct FROM c), q AS (SELECT *, max(pct) OVER () AS most FROM p) SELECT {cols} FROM q {tail}"
+
+    add("legacy_top_waits_other", f""", c AS (SELECT wait, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, wait) AS r FROM o GROUP BY wait),
+p AS (SELECT CASE WHEN r < 3 THEN wait ELSE 'Other' END AS wait_event, CAST(sum(n) AS BIGINT) AS samples, {sql_r2("sum(n) * CAST(100 AS DOUBLE) / (SELECT sum(n) FROM c)")} AS pct FROM c GROUP BY 1), q AS (SELECT *, max(pct) OVER () AS most FROM p)
+SELECT wait_event, samples, pct, {bar} AS bar FROM q""")(lambda h: legacy.top_waits(h, START, END, 3))
+    add("legacy_histogram", shares("wait", "true", "wait_event"))(lambda h: legacy.histogram(h, START, END, 100))
     add("legacy_wait_timeline", f"SELECT {sql_time('m - m % 3600')} AS bucket_start, wait AS wait_event, count(*) AS samples FROM o GROUP BY ALL")(lambda h: legacy.wait_timeline(h, START, END, "1 hour"))
-    add("legacy_top_queries", shares("query_id", "query_id IS NOT NULL", "query_id", "ORDER BY samples DESC, key LIMIT 10"))(lambda h: legacy.top_queries(h, START, END))
-    add("legacy_top_queries_with_text", shares("query_id", "query_id IS NOT NULL", "query_id", "ORDER BY samples DESC, key LIMIT 10"))(lambda h: legacy.top_queries_with_text(h, START, END).select("query_id", "samples", "pct"))
-    add("legacy_top_by_type", shares("type", "true", "wait_event_type"))(lambda h: legacy.top_by_type(h, START, END).select("wait_event_type", "samples", "pct"))
-    add("legacy_query_waits", shares("wait", "query_id = 7", "wait_event"))(lambda h: legacy.query_waits(h, 7, START, END).select(*plain))
-    add("legacy_event_queries", shares("query_id", "type = 'IO' OR event = 'IO'", "query_id", "ORDER BY samples DESC, key NULLS LAST LIMIT 10").replace("SELECT key AS", "SELECT CAST(key AS VARCHAR) AS"))(lambda h: texted(legacy.event_queries(h, "IO", START, END)).select("query_id", "samples", "pct"))
+    leading = "ORDER BY samples DESC, key LIMIT 10"
+    add("legacy_top_queries", shares("query_id", "query_id IS NOT NULL", "query_id", leading, False))(lambda h: legacy.top_queries(h, START, END))
+    named = shares("query_id", "query_id IS NOT NULL", "query_id", leading, False)
+    add("legacy_top_queries_with_text", named.replace(" SELECT key AS", ", t AS (SELECT key AS", 1) + f""") SELECT t.*, 'SELECT ' || t.query_id AS query_text, calls, total_exec_ms, {sql_r2("total_exec_ms / calls")} AS mean_exec_ms FROM t
+JOIN (SELECT user_id, count(*) AS calls, CAST(sum(event_id % 1000) AS DOUBLE) AS total_exec_ms FROM events GROUP BY 1) u ON u.user_id = t.query_id""", statements_history)(lambda h: legacy.top_queries_with_text(h, START, END))
+    add("legacy_top_by_type", shares("type", "true", "wait_event_type"))(lambda h: legacy.top_by_type(h, START, END))
+    add("legacy_query_waits", shares("wait", "query_id = 7", "wait_event"))(lambda h: legacy.query_waits(h, 7, START, END))
+    add("legacy_event_queries", shares("query_id", "type = 'IO' OR event = 'IO'", "query_id", "ORDER BY samples DESC, key NULLS LAST LIMIT 10").replace("SELECT key AS", "SELECT CAST(key AS VARCHAR) AS"))(lambda h: texted(legacy.event_queries(h, "IO", START, END)))
+    switch = "chr(27) || '[38;2;' || CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (("CPU*", "080;250;123"), ("IdleTx", "241;250;140"), ("IO", "030;100;255"), ("Lock", "255;085;085"), ("LWLock", "255;121;198"))) + " END || 'm'"
+    add("legacy_colored_bars", shares("type", "true", "type") .replace("SELECT key AS type, samples, pct", "SELECT type AS wait_event_type, samples, pct").replace("FROM q ", "FROM (SELECT *, key AS type FROM q)").replace("rpad(", f"{switch} || rpad(").replace("40, ' ') || lpad", "40, ' ') || chr(27) || '[0m' || lpad"))(lambda h: legacy.top_by_type(h, START, END, color=True))
     add("legacy_samples_by_database", "SELECT database AS database_name, count(DISTINCT s) AS samples, count(*) AS total_backends FROM o GROUP BY 1")(lambda h: legacy.samples_by_database(h, START, END))
     add("legacy_minute_waits", f"SELECT {sql_time('m')} AS minute, wait AS wait_event, count(*) AS samples FROM o GROUP BY m, wait QUALIFY row_number() OVER (PARTITION BY m ORDER BY count(*) DESC, wait) <= 3", minutes_history)(lambda h: legacy.minute_waits(h, START, END, 3))
     add("legacy_hourly_queries", f""", q AS (SELECT m - m % 3600 AS b, query_id, count(*) AS n FROM o WHERE query_id IS NOT NULL GROUP BY ALL), t AS (
@@ -313,20 +410,193 @@ SELECT CASE WHEN r < 3 THEN wait ELSE 'Other' END AS wait_event, CAST(sum(n) AS
 SELECT {sql_time("b")} AS hour, query_id, {sql_r2("n * CAST(60 AS DOUBLE)")} AS backend_seconds, {sql_r2("n / CAST(c AS DOUBLE)")} AS avg_backends FROM q JOIN t USING (b)
 QUALIFY row_number() OVER (PARTITION BY b ORDER BY n DESC, query_id) <= 3""", hours_history)(lambda h: legacy.hourly_queries(h, START, END, 3))
     add("daily_peak_backends", f"SELECT {sql_time('s - s % 86400')} AS day, database, CAST(max(n) AS INTEGER) AS peak_backends FROM (SELECT s, database, count(*) AS n FROM o GROUP BY ALL) GROUP BY ALL", hours_history)(lambda h: legacy.daily_peak_backends(h, START, END))
-    add("legacy_activity_summary")(lambda h: legacy.activity_summary(h, START, END))
-    add("legacy_timeline_chart")(lambda h: legacy.timeline_chart(h, START, END, "1 day"))
-    add("legacy_samples", None)(lambda h: legacy.samples(h, START, END, 50))
+    say = lambda name, key, cond: f"SELECT '{name}_' || place, key || ' (' || printf('%.2f', {sql_r2('n * CAST(100 AS DOUBLE) / alln')}) || '%)' FROM (SELECT CAST({key} AS VARCHAR) AS key, count(*) AS n, sum(count(*)) OVER () AS alln, row_number() OVER (ORDER BY count(*) DESC, {key}) AS place FROM o WHERE {cond} GROUP BY {key}) WHERE place <= 3"
+    add("legacy_activity_summary", f""", k AS (SELECT s, count(*) AS n FROM o GROUP BY s)
+SELECT 'total_samples' AS metric, CAST(count(*) AS VARCHAR) AS value FROM k UNION ALL SELECT 'avg_active_backends', printf('%.1f', avg(n)) FROM k UNION ALL SELECT 'peak_active_backends', CAST(max(n) AS VARCHAR) FROM k
+UNION ALL SELECT 'peak_time', strftime({sql_time('min(s)')}, '%Y-%m-%d %H:%M:%S') FROM k WHERE n = (SELECT max(n) FROM k) UNION ALL SELECT 'databases_active', CAST(count(DISTINCT database) AS VARCHAR) FROM o
+UNION ALL {say("top_wait", "wait", "true")} UNION ALL {say("top_query", "query_id", "query_id IS NOT NULL")}""")(lambda h: legacy.activity_summary(h, START, END))
+    add("legacy_timeline_chart", sql_chart(86400, "active"))(lambda h: legacy.timeline_chart(h, START, END, "1 day"))
+    add("legacy_samples", """, act AS (SELECT sample_ts, database, count(*) AS n FROM o GROUP BY ALL)
+SELECT o.sample_ts AS sample_time, o.database AS database_name, n AS active_backends, wait AS wait_event, CAST(query_id AS VARCHAR) AS query_id, CAST(NULL AS VARCHAR) AS query_text
+FROM o JOIN act ON act.sample_ts = o.sample_ts AND act.database = o.database ORDER BY o.sample_ts DESC, wait, o.database, o.query_id NULLS LAST LIMIT 50""")(lambda h: texted(legacy.samples(h, START, END, 50)))
 
     def packed(h):
         waits, queries = codec.build_dictionaries(h.rows())
         return codec.encode(h.rows(), waits, queries), waits, queries
 
+    def by_slot(h):
+        """Every slot of the ring packed with its own query ids, and taken apart by them."""
+        rows = h.rows().withColumn("slot", codec.slot_of(CONFIG, F.col("sample_ts")))
+        waits, queries = codec.build_dictionaries(rows, "slot")
+        waits, queries = stored(waits, "waits"), stored(queries, "queries")
+        own = lambda s: codec.encode(rows.filter(F.col("slot") == s), waits, queries.filter(F.col("slot") == s))
+        parts = [codec.decode_sample(own(s), waits, queries, s).withColumn("slot", F.lit(s)) for s in range(CONFIG.num_partitions)]
+        return texted(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
     capped = ", known AS (SELECT query_id AS q FROM o WHERE query_id IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 50000) "
     add("codec_round_trip", capped + "SELECT sample_ts, database, wait AS wait_event, CAST(q AS VARCHAR) AS query_id, CAST(1 AS BIGINT) AS count FROM o LEFT JOIN known ON q = query_id")(lambda h: texted(codec.decode(*packed(h))))
     add("codec_valid", "SELECT sample_ts, database, CAST(count(*) AS INTEGER) AS active_count, true AS valid FROM o GROUP BY ALL")(lambda h: packed(h)[0].select("sample_ts", "database", "active_count", codec.is_valid(F.col("data")).alias("valid")))
+    packed_rows = "SELECT sample_ts, database, wait AS wait_event, CAST(query_id AS VARCHAR) AS query_id, CAST(1 AS BIGINT) AS count"
+    add("decode_sample_at", packed_rows + " FROM o WHERE sample_ts = (SELECT max(sample_ts) FROM o)")(lambda h: texted(codec.decode_at(*packed(h), h.raw().agg(F.max("ts").alias("m")).first()["m"])))
+    add("decode_sample_slots", packed_rows + ", CAST((s // 86400) % 3 AS INTEGER) AS slot FROM o")(by_slot)
+
+
+# Lifecycle
+
+
+def statements_history(spark: SparkSession, sf_dir: str) -> History:
+    """With the text and the statistics of each query, both made from the events."""
+    h, events = history(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet")
+    h.query_texts = events.select(F.col("user_id").alias("query_id"), F.concat(F.lit("SELECT "), F.col("user_id").cast("string")).alias("query")).distinct()
+    h.query_stats = events.groupBy(F.col("user_id").alias("query_id")).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("event_id") % 1000).cast("double").alias("total_exec_ms"))
+    return h
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as snapshots of a server: every eleventh backend is a worker, every thirteenth idle, every seventeenth broken."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.col("event_type")
+    wait = lambda io, lw, lock: F.when(kind == "purchase", io).when(kind == "signup", lw).when(kind == "error", lock)
+    return events.select(
+        F.when(F.col("event_id") % 17 != 0, F.col("ts").cast("timestamp_ntz")).alias("ts"), F.col("event_id").cast("int").alias("pid"),
+        F.when(F.col("event_id") % 13 == 0, "idle").when(kind == "click", "idle in transaction").otherwise("active").alias("state"),
+        wait("IO", "LWLock", "Lock").alias("wait_event_type"), wait("DataFileRead", "WALWrite", "tuple").alias("wait_event"),
+        F.when(F.col("event_id") % 11 == 0, "autovacuum worker").otherwise("client backend").alias("backend_type"),
+        F.when(F.col("event_id") % 10 != 0, F.col("user_id")).alias("query_id"), F.concat(F.lit("db"), (F.col("event_id") % 3).cast("string")).alias("database"),
+    )
+
+
+SAMPLED = OBS.replace("FROM events", "FROM events WHERE event_id % 17 <> 0 AND event_id % 13 <> 0 AND event_id % 11 <> 0")
+#: What the store is fed: first all up to the middle, then the rest with every fiftieth event of before, too late; then the same again.
+LATE = f"(event_id % 50 = 0 AND ts < make_timestamp({(MIDDLE - 86400) * 1_000_000}))"
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> stream.Store:
+    """A store that several queries read, filled once for the table as it is."""
+    key = as_it_is(spark, sf_dir)
+    if key not in _stores:
+        _stores[key] = fill_store(spark, sf_dir)
+    return _stores[key]
+
+
+def fill_store(spark: SparkSession, sf_dir: str) -> stream.Store:
+    rows = snapshots(spark, sf_dir)
+    store = stream.Store(spark, scratch_path(spark, "store"), CONFIG)
+    late = (F.col("pid") % 50 == 0) & (F.coalesce("ts", literal_time(END)) < literal_time(MIDDLE - 86400))
+    early = F.coalesce("ts", literal_time(START)) < literal_time(MIDDLE)
+    store.ingest(rows.filter(early & ~late), 0)
+    second = rows.filter(~early | late)
+    store.ingest(second, 1)
+    store.ingest(second, 1)  # as after a failure
+    return store
+
+
+def cleaned(h: History) -> DataFrame:
+    """What cleanup leaves of each tier with twenty days of minutes, and what it says."""
+    from dataclasses import replace
+
+    minutes, hours, said = rollup.cleanup(h.minutes, h.hours, replace(CONFIG, rollup_1m_retention_days=20), END)
+    count = lambda df, name: df.agg(F.lit(name).alias("tier"), F.count(F.lit(1)).alias("n"))
+    return count(minutes, "minutes").unionByName(count(hours, "hours")).unionByName(h.spark.createDataFrame([(said, 0)], "tier string, n long"))
+
+
+def _register_lifecycle() -> None:
+    stored_rows = SAMPLED.replace("event_id % 11 <> 0", f"event_id % 11 <> 0 AND NOT {LATE}")
+    mark = "(SELECT max(s) - 60 - (max(s) - 60) % 60 FROM o)"
+
+    def direct(name, sql, f):
+        QUERIES[name], SQL[name] = f, sql
+
+    direct("take_sample", SAMPLED + f"SELECT {ROW} FROM o", lambda s, d: texted(activity.split_malformed(activity.take_sample(snapshots(s, d), CONFIG))[0]))
+    direct("dead_letters", "SELECT 'db' || CAST(event_id % 3 AS VARCHAR) AS database, count(*) AS n FROM events WHERE event_id % 17 = 0 AND event_id % 13 <> 0 AND event_id % 11 <> 0 GROUP BY 1", lambda s, d: activity.split_malformed(activity.take_sample(snapshots(s, d), CONFIG))[1].groupBy("database").agg(F.count(F.lit(1)).alias("n")))
+    direct("stream_raw", stored_rows + f"SELECT {ROW} FROM o", lambda s, d: texted(filled_store(s, d).observations().drop("day", "batch")))
+    direct("stream_rollup_1m", stored_rows + f", t AS (SELECT m, database, s, count(*) AS n FROM o GROUP BY ALL) SELECT {sql_time('m')} AS t, database, CAST(count(*) AS INTEGER) AS samples, CAST(max(n) AS INTEGER) AS peak_backends, CAST(sum(n) AS BIGINT) AS total FROM t WHERE m < {mark} GROUP BY m, database",
+           lambda s, d: filled_store(s, d).rollup("rollup_1m").select(as_time(F.col("ts")).alias("t"), "database", "samples", "peak_backends", F.aggregate("wait_counts", F.lit(0).cast("long"), lambda a, p: a + p["cnt"]).alias("total")))
+    direct("stream_rollup_1h", stored_rows + f", t AS (SELECT m - m % 3600 AS b, database, s, count(*) AS n FROM o WHERE m < {mark} GROUP BY ALL) SELECT {sql_time('b')} AS t, database, CAST(count(*) AS INTEGER) AS samples, CAST(max(n) AS INTEGER) AS peak_backends FROM t WHERE b + 3600 <= {mark} GROUP BY b, database",
+           lambda s, d: filled_store(s, d).rollup("rollup_1h").select(as_time(F.col("ts")).alias("t"), "database", "samples", "peak_backends"))
+    direct("stream_late", SAMPLED.replace("event_id % 11 <> 0", f"event_id % 11 <> 0 AND {LATE}") + f"SELECT {ROW} FROM o", lambda s, d: texted(filled_store(s, d).late().drop("day", "batch")))
+
+    def retained(s, d):
+        store = fill_store(s, d)
+        store.retain(END)
+        return store.observations().groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+    direct("stream_retain", stored_rows + f"SELECT CAST(sample_ts AS DATE) AS day, count(*) AS n FROM o WHERE s >= {END - (CONFIG.num_partitions - 1) * 86400} GROUP BY 1", retained)
+    direct("stream_windowed_minutes", OBS + f", w AS (SELECT m, database, type, event, count(*) AS cnt FROM o GROUP BY ALL) SELECT {sql_time('m')} AS minute, database, type AS wait_event_type, event AS wait_event, cnt FROM w WHERE m + 60 <= (SELECT max(s) - 60 FROM o)", windowed)
+    step = lambda h: rollup.rollup_minute(h.rows(), CONFIG, START, END, 1440)
+    add("rollup_minute_step", f", t AS (SELECT m, database, s, count(*) AS n FROM o WHERE m < {START + 86400} GROUP BY ALL) SELECT {sql_time('m')} AS t, database, CAST(count(*) AS INTEGER) AS samples, {sql_time(str(START + 86400))} AS watermark, CAST(1440 AS BIGINT) AS grains FROM t GROUP BY m, database")(
+        lambda h: step(h)[0].select(as_time(F.col("ts")).alias("t"), "database", "samples", as_time(F.lit(step(h)[1]).cast("long")).alias("watermark"), F.lit(step(h)[2]).cast("long").alias("grains"))
+    )
+    add("rollup_hour_step", f", t AS (SELECT DISTINCT m - m % 3600 AS b, database, s FROM o WHERE m < {START + 86400}) SELECT {sql_time('b')} AS t, database, CAST(count(*) AS INTEGER) AS samples FROM t GROUP BY b, database", full_history)(
+        lambda h: rollup.rollup_hour(h.minutes, END, START, 24)[0].select(as_time(F.col("ts")).alias("t"), "database", "samples")
+    )
+    add("rollup_gaps", f"SELECT {sql_time('t.b')} AS minute FROM (SELECT unnest(range({START}, {END}, 60)) AS b) t WHERE t.b NOT IN (SELECT m FROM o) AND t.b + 60 <= (SELECT max(s) FROM o)", full_history)(lambda h: rollup.gap_minutes(h.minutes, h.rows(), START, END).select(as_time(F.col("ts")).alias("minute")))
+    add("rollup_cleanup", f"SELECT 'minutes' AS tier, count(*) AS n FROM (SELECT DISTINCT m, database FROM o WHERE m >= {END - 20 * 86400}) UNION ALL SELECT 'hours', count(*) FROM (SELECT DISTINCT m - m % 3600, database FROM o) UNION ALL SELECT 'cleanup: deleted ' || count(*) || ' minute rows, 0 hourly rows', 0 FROM (SELECT DISTINCT m, database FROM o WHERE m < {END - 20 * 86400})", full_history)(cleaned)
+    add("rotate", f"SELECT {ROW} FROM o WHERE s >= {END - 2 * 86400}", full_history)(lambda h: texted(rollup.rotate(h.rows(), h.minutes, CONFIG, END)[0]))
+    add("rollup_backfill", f"SELECT {sql_time('m - m % 3600')} AS t, database, CAST(m % 3600 // 60 AS INTEGER) AS minute, count(*) AS cnt FROM o GROUP BY m, database", full_history)(
+        lambda h: rollup.backfill_minutes(h.hours.withColumn("minute_counts", F.when(F.col("ts") % 7200 == 0, F.col("minute_counts"))), h.minutes).select(as_time(F.col("ts")).alias("t"), "database", F.posexplode("minute_counts").alias("minute", "cnt")).filter("cnt is not null")
+    )
+    add("rollup_truncated", f"SELECT {sql_time('b')} AS t, database, query_id, cnt FROM (SELECT m - m % 3600 AS b, database, query_id, count(*) AS cnt, row_number() OVER (PARTITION BY m - m % 3600, database ORDER BY count(*) DESC, query_id) AS r FROM o WHERE query_id IS NOT NULL GROUP BY m - m % 3600, database, query_id) WHERE r <= 2", hours_history)(
+        lambda h: h.hours.select(as_time(F.col("ts")).alias("t"), "database", F.inline(rollup.truncate_pairs(F.col("query_counts"), 2)))
+    )
+    add("merge_queries", "SELECT database, query_id, count(*) AS cnt FROM o WHERE query_id IS NOT NULL GROUP BY database, query_id QUALIFY row_number() OVER (PARTITION BY database ORDER BY count(*) DESC, query_id) <= 100", minutes_history)(
+        lambda h: rollup.leading_queries(h.minutes.select("database", F.inline("query_counts")).groupBy("database", "query_id").agg(F.sum("cnt").alias("n")), ["database"]).select("database", F.inline("query_counts"))
+    )
+    add("minutes_valid", f"SELECT {sql_time('m - m % 3600')} AS t, database, true AS valid FROM o GROUP BY 1, 2", hours_history)(lambda h: h.hours.select(as_time(F.col("ts")).alias("t"), "database", grains.minutes_valid(F.col("minute_counts"), F.col("wait_counts")).alias("valid")))
+    add("unrolled", f"SELECT DISTINCT {sql_time('m')} AS minute, database FROM o WHERE m % 7 = 0", full_history)(lambda h: rollup.unrolled(h.rows(), h.minutes.filter("ts % 7 <> 0")).select(as_time(F.col("ts")).alias("minute"), "database"))
+
+    def facts(h):
+        found = History(h.spark, h._observations, END, h.minutes, h.hours, CONFIG, minute_watermark=END)
+        s = found.stats
+        flat = found.has_flat(Filters())(WHOLE), History(h.spark, None, END, None, h.hours.withColumn("minute_counts", F.lit(None).cast("array<bigint>")), CONFIG, stats=s).has_flat(Filters())(WHOLE)
+        short = Window(s.raw_start + 86400, s.raw_start + 86400 + 1800)
+        rows = [("raw_oldest", str(s.raw_oldest)), ("raw_start", str(s.raw_start)), ("minute_oldest", str(s.minute_oldest)), ("hour_oldest", str(s.hour_oldest)), ("has_flat", str(flat[0]).lower()), ("has_flat_without_minutes", str(flat[1]).lower())]
+        rows += [("source", pick_source(s, short.start)), ("source_long", pick_source_agg(s, Window(short.start, END), END)), ("source_short", pick_source_agg(s, short, END)), ("has_coarser", str(found.has_coarser(Filters())(Window(START - 86400, END))).lower())]
+        return h.spark.createDataFrame(rows, "fact string, value string")
+
+    oldest = lambda name, c: f"SELECT '{name}' AS fact, CAST(min({c}) AS VARCHAR) AS value FROM o"
+    add("planner_facts", " UNION ALL ".join([oldest("raw_oldest", "s"), oldest("raw_start", "m"), oldest("minute_oldest", "m"), oldest("hour_oldest", "m - m % 3600"), *[f"SELECT '{k}', '{v}'" for k, v in (("has_flat", "false"), ("has_flat_without_minutes", "true"), ("source", "raw"), ("source_long", "rollup_1m"), ("source_short", "raw"), ("has_coarser", "false"))]]), full_history)(facts)
+    add("active_slots", "SELECT CAST(unnest([2, 1, 0, 5, 4]) AS INTEGER) AS slot")(lambda h: h.spark.createDataFrame([(s,) for s in slots_for(Config(num_partitions=6, current_slot=2), "3 days")], "slot int"))
+
+    def exported(h):
+        result, path = legacy.samples_by_database(h, START, END), scratch_path(h.spark, "export")
+        activity.to_csv(result, f"{path}/csv")
+        activity.to_json(result, f"{path}/json")
+        read = lambda kind: h.spark.read.schema(result.schema).option("header", True).format(kind).load(f"{path}/{kind}").withColumn("format", F.lit(kind))
+        return read("csv").unionByName(read("json"))
+
+    add("export", "SELECT f.f AS format, database AS database_name, count(DISTINCT s) AS samples, count(*) AS total_backends FROM o, (SELECT unnest(['csv', 'json']) AS f) f GROUP BY ALL")(exported)
+
+    def day_store(h):
+        path = scratch_path(h.spark, "days")
+        activity.append(h.rows(), path)
+        return texted(activity.read_store(h.spark, path, MIDDLE, MIDDLE + 86400))
+
+    add("day_store_scan", f"SELECT {ROW} FROM o WHERE s >= {MIDDLE} AND s < {MIDDLE + 86400}")(day_store)
+    window = "since => '2024-01-01', until => '2024-02-01'"
+    add("sql_top", sql_top("wait", order="peak_aas", n=3))(lambda h: sql_access.query(h, f"SELECT * FROM top('wait_event', {window}, n => 3, order_by => 'peak')"))
+    io = sql_aas(60, "type = 'IO'")
+    add("sql_aas_join", f", a AS ({sql_aas(60)}), b AS ({io}) SELECT a.avg_aas, b.avg_aas AS io FROM a, b")(lambda h: sql_access.query(h, f"SELECT a.avg_aas, b.avg_aas AS io FROM aas({window}) a JOIN aas({window}, wait_event_type => 'IO') b ON true"))
+    add("dictionary_waits", "SELECT CAST(row_number() OVER (ORDER BY state, type, event) AS INTEGER) AS id, state, type, event FROM (SELECT DISTINCT state, type, event FROM o)")(lambda h: codec.build_dictionaries(h.rows())[0])
+    add("dictionary_queries", "SELECT CAST(row_number() OVER (ORDER BY query_id) AS INTEGER) AS id, query_id FROM (SELECT DISTINCT query_id FROM o WHERE query_id IS NOT NULL) QUALIFY row_number() OVER (ORDER BY query_id) <= 50000")(lambda h: codec.build_dictionaries(h.rows())[1])
+    add("cap_hits", """, w AS (SELECT state, type, event, row_number() OVER (ORDER BY state, type, event) AS id FROM (SELECT DISTINCT state, type, event FROM o)), q AS (SELECT DISTINCT query_id FROM o WHERE query_id IS NOT NULL ORDER BY 1 LIMIT 10),
+l AS (SELECT o.* FROM o JOIN w ON w.state = o.state AND w.type = o.type AND w.event = o.event WHERE w.id > 2)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT state, type, event FROM l)) AS register_wait_cap_hits, (SELECT count(*) FROM l) AS lost_sessions, (SELECT count(*) FROM o WHERE query_id IS NOT NULL AND query_id NOT IN (SELECT query_id FROM q)) AS unnamed_sessions""")(
+        lambda h: codec.cap_hits(h.rows(), *[d.filter(c) for d, c in zip(codec.build_dictionaries(h.rows()), ("id <= 2", "id <= 10"), strict=True)])
+    )
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful stream over the events, run to its end."""
+    folder = scratch_path(spark, "windowed")
+    history(spark, sf_dir).rows().write.parquet(f"{folder}/in")
+    source = spark.readStream.schema("sample_ts timestamp_ntz, database string, state string, wait_event_type string, wait_event string, query_id long").parquet(f"{folder}/in")
+    out = stream.windowed_minutes(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
-for _register in (_register_filters, _register_grains, _register_aas, _register_top, _register_rollups, _register_report, _register_legacy):
+for _register in (_register_filters, _register_grains, _register_aas, _register_top, _register_rollups, _register_report, _register_legacy, _register_lifecycle):
     _register()
 
 

@@ -131,6 +131,16 @@ def report_json(h: History, *args, **kwargs) -> DataFrame:
     return h.spark.createDataFrame([(None if found is None else json.dumps(found),)], "report string")
 
 
+def report_rows(h: History, *args, **kwargs) -> DataFrame:
+    """The report as rows: section, item, value (text; leading names joined by commas). None where report gives none."""
+    out: list[tuple[str, str, str | None]] = []
+    for section, found in (report(h, *args, **kwargs) or {}).items():
+        for item, value in found.items() if isinstance(found, dict) else [("", found)]:
+            text = ", ".join(value) if isinstance(value, list) else f"{value:.2f}" if isinstance(value, float) else None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+            out.append((section, item, text))
+    return h.spark.createDataFrame(out, "section string, item string, value string")
+
+
 def series_frame(h: History, since, until) -> DataFrame:
     """The class series as a result: class, minute, aas."""
     w = resolve_window("report", since, until, h.as_of, DAY)

@@ -63,6 +63,7 @@ class Store:
         return fs.exists(path)
 
     def _write(self, rows: DataFrame, name: str, keys: list[str]) -> None:
+        rows = rows.hint("rebalance", *keys)  # few files a folder; a large day is split
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.root}/{name}")
 
     def _read(self, name: str, schema: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
