@@ -7,15 +7,13 @@ was written there survives the loss of any executor.
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_scratch, scratch_dir, scratch_path, stored  # noqa: F401
+
 #: Rows in a batch that goes through Python.
 BATCH_ROWS = 256
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,16 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``, or, where that is unset (tests on one machine), a temporary folder that is removed at exit."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tickfold-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Have Spark hand rows to Python in batches of at most ``BATCH_ROWS``: batches are cut by rows and not by bytes, and texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,25 +42,6 @@ def per_process(key, make):
     return held["value"]
 
 
-_made: list[str] = []
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the scratch tables that this process has written; results that still read them must have been written elsewhere."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df once to the shared scratch folder and return the table that was written; this cuts the lineage. drop_scratch removes it. Large tables may ask for zstd, whose writers hold native memory by file and column."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     """Lower-case A-Z and nothing else. Pure ASCII takes the fast built-in."""
     plain = F.octet_length(col) == F.char_length(col)
