@@ -1,13 +1,17 @@
 """WARC archives under Zstandard: one frame a record, the dictionary in a leading skippable frame.
 
 Writing: each task turns its rows into one or more archives of a bounded size,
-with a dictionary trained on a bounded head of its own payloads. An archive
-appears under its final name only when complete; a task that runs again writes
-the same names with the same content, so lost executors cost nothing but time.
+with a dictionary trained on a bounded head of its own payloads. Each attempt of a
+task writes to a folder of its own, and only the folders that the finished attempts
+report are read: rows may come to a second attempt in another order and be cut
+into other archives, and what a lost or slower attempt left is never looked at. An
+archive's name says how many records it holds.
 
 Reading: Spark lists and opens the archives, so any store that Spark reads will
 do. The reader loads the dictionary from the skippable frame, decodes one frame
-per record and checks every length and header; a damaged archive raises.
+per record and checks every length and header; a damaged archive, or one with
+another number of records than its name says, raises. Records of other types than
+response and revisit (warcinfo, request, metadata, ...) are checked and passed over.
 
 Records with equal payloads: the one with the largest page id is the response,
 the others are revisits that name it and keep only the HTTP head. The digest of
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 
@@ -27,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, scratch_dir, with_class_winner
+from .common import bounded_batches, read_table, scratch_path, with_class_winner
 
 #: Fixed values of the formats.
 DICT_FRAME = 0x184D2A5D
@@ -39,7 +44,9 @@ ARCHIVE_BYTES = 32 << 20
 SAMPLE_RECORDS = 200
 SAMPLE_BYTES = 2 << 20
 DICT_BYTES = 32 << 10
-RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+#: The record types of the format that hold no response.
+PASSED = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -50,11 +57,10 @@ def urn(page_id: int | None) -> str:
     return "<urn:x-page:" + ("null" if page_id is None else str(page_id)) + ">"
 
 
-def from_urn(value: str) -> int | None:
-    if not value.startswith("<urn:x-page:") or not value.endswith(">"):
-        raise ValueError(f"not a record id of ours: {value}")
-    body = value[len("<urn:x-page:") : -1]
-    return None if body == "null" else int(body)
+def from_urn(value: str | None) -> int | None:
+    """The page that a record id of ours names; none for the ids of other writers."""
+    body = (value or "").removeprefix("<urn:x-page:").removesuffix(">")
+    return int(body) if body.removeprefix("-").isdigit() and value == f"<urn:x-page:{body}>" else None
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
@@ -129,8 +135,8 @@ def head_of(data: bytes, at: int) -> tuple[str, dict[str, str], int]:
     return first, fields, end + 4
 
 
-def parse(record: bytes) -> dict:
-    """Validate one record and take it apart."""
+def parse(record: bytes) -> dict | None:
+    """Validate one record and take it apart; None for a sound record of a type that is passed over."""
     version, head, at = head_of(record, 0)
     if version not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError(f"not a WARC record: {version!r}")
@@ -141,30 +147,42 @@ def parse(record: bytes) -> dict:
     if len(record) != at + n + 4 or record[at + n :] != b"\r\n\r\n":
         raise ValueError("the record's length is not its Content-Length")
     block = record[at : at + n]
-    if head.get("warc-block-digest", f"sha1:{sha1_base32(block)}") != f"sha1:{sha1_base32(block)}":
-        raise ValueError("the block digest is wrong")
+    checked(head.get("warc-block-digest"), block, "block")
+    kind = head["warc-type"]
+    if kind in PASSED:
+        return None
+    if kind not in ("response", "revisit"):
+        raise ValueError(f"unexpected record type {kind!r}")
     status, http, start = head_of(block, 0)
     if not status.startswith("HTTP/"):
         raise ValueError("the block is no HTTP response")
-    kind, size, payload = head["warc-type"], int(http["content-length"]), block[start:]
-    digest = head["warc-payload-digest"].removeprefix("sha1:")
+    payload = block[start:]
+    size = int(http.get("content-length", len(payload)))
     if kind == "response":
-        if len(payload) != size or sha1_base32(payload) != digest:
-            raise ValueError("the payload's length or digest is wrong")
-    elif kind == "revisit":
-        if payload or head.get("warc-profile") != PROFILE or "warc-refers-to" not in head:
-            raise ValueError("the revisit record is not one of identical payloads")
+        if len(payload) != size:
+            raise ValueError("the payload's length is wrong")
+        checked(head.get("warc-payload-digest"), payload, "payload")
+        digest = sha1_base32(payload)
     else:
-        raise ValueError(f"unexpected record type {kind!r}")
-    uri = head.get("warc-target-uri")
+        if payload or not head.get("warc-profile", "").endswith("/revisit/identical-payload-digest") or "warc-refers-to" not in head or "warc-payload-digest" not in head:
+            raise ValueError("the revisit record is not one of identical payloads")
+        digest = head["warc-payload-digest"].partition(":")[2]
+    uri, refers = head.get("warc-target-uri"), head["warc-refers-to"] if kind == "revisit" else None
     return {
         "page_id": from_urn(head["warc-record-id"]), "url": None if uri == "urn:x-none:" else uri, "payload": payload if kind == "response" else None,
-        "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": from_urn(head["warc-refers-to"]) if kind == "revisit" else None,
+        "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": from_urn(refers), "record_id": head["warc-record-id"], "refers_to_id": refers,
     }
 
 
+def checked(digest: str | None, data: bytes, what: str) -> None:
+    """Raise if a labelled SHA-1 digest is not that of data; digests by other algorithms cannot be checked and pass."""
+    label, _, value = (digest or "").partition(":")
+    if label.lower() == "sha1" and value.upper() != sha1_base32(data):
+        raise ValueError(f"the {what} digest is wrong")
+
+
 def write_archives(rows: DataFrame, path: str) -> DataFrame:
-    """Write rows (page_id, url, payload, payload_digest, keep_id) as archives under path; returns (archive, records), one row an archive, and runs once it is stored."""
+    """Write rows (page_id, url, payload, payload_digest, keep_id) as archives under path; returns (folder, archive, records), one row an archive. Only the folders that come back hold finished work."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -173,7 +191,8 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
         place, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         if isinstance(place, fs.LocalFileSystem):
             root = root.removeprefix("file:")
-        place.create_dir(root, recursive=True)
+        folder = f"attempt-{part:05d}-{uuid.uuid4().hex}"
+        place.create_dir(f"{root}/{folder}", recursive=True)
         held, size, k, dict_data = [], 0, 0, None
 
         def flush():
@@ -185,12 +204,10 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
                         samples.append(r[:65536])
                         n += len(samples[-1])
                 dict_data = dictionary(samples)
-            name = f"part-{part:05d}-{k:04d}.warc.zst"
-            passing = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with place.open_output_stream(passing) as f:
+            name = f"part-{part:05d}-{k:04d}-n{len(held)}.warc.zst"
+            with place.open_output_stream(f"{root}/{folder}/{name}", compression=None) as f:  # the name must not make the stream compress what is compressed
                 f.write(archive_bytes(held, dict_data))
-            place.move(passing, f"{root}/{name}")
-            out = pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(held)], pa.int64())})
+            out = pa.RecordBatch.from_pydict({"folder": [folder], "archive": [name], "records": pa.array([len(held)], pa.int64())})
             held, size, k = [], 0, k + 1
             return out
 
@@ -205,34 +222,40 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.select("page_id", "url", "payload", "payload_digest", "keep_id").mapInArrow(run, "archive string, records long")
+    return rows.select("page_id", "url", "payload", "payload_digest", "keep_id").mapInArrow(run, "folder string, archive string, records long")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under path: see RECORD. A revisit has no payload of its own."""
+def read_archives(spark: SparkSession, *paths: str) -> DataFrame:
+    """The records of all archives in folders: see RECORD. A revisit has no payload of its own; page_id and refers_to are null where another writer named the records."""
 
     def run(batches):
         from collections import deque
 
         for b in batches:
-            for data in b.column(0):
-                rows, size = deque(), 0
+            for path, data in zip(b.column(0), b.column(1), strict=True):
+                rows, size, n = deque(), 0, 0
                 for r in frames(data.as_py()):
-                    rows.append(parse(r))
+                    n += 1
+                    if (found := parse(r)) is None:
+                        continue
+                    rows.append(found)
                     size += len(r)
                     if size > 4 << 20:
                         yield batch(rows)
                         rows, size = deque(), 0
+                said = re.search(r"-n(\d+)\.warc\.zst$", path.as_py())
+                if said and n != int(said[1]):
+                    raise ValueError(f"{path} holds {n} records")
                 if rows:
                     yield batch(rows)
 
-    types = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    types = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string(), "refers_to_id": pa.string()}
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in types.items()], list(types))
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(path)
-    return found.select("content").mapInArrow(run, RECORD)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(list(paths))
+    return found.select("path", "content").mapInArrow(run, RECORD)
 
 
 def with_payload(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -263,14 +286,12 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
     classes = with_class_winner(rows.select("page_id", "content", "payload_digest"), ["content", "payload_digest"], "page_id")
     keep = classes.groupBy(F.col("page_id").alias("id"), F.col("content").alias("c")).agg(F.max("keep_id").alias("keep_id"))
     joined = rows.join(keep, rows["page_id"].eqNullSafe(keep["id"]) & (rows["content"] == keep["c"]))
-    if sum(r["records"] for r in write_archives(joined, path).agg(F.sum("records").alias("records")).collect() if r["records"]):
-        return read_archives(spark, path)
-    return spark.createDataFrame([], RECORD)
+    folders = [r["folder"] for r in write_archives(joined, path).groupBy("folder").count().collect()]  # one a task
+    return read_archives(spark, *[f"{path}/{f}" for f in folders]) if folders else spark.createDataFrame([], RECORD)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return archive(read_table(spark, sf_dir, "pages"), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL: dict[str, str] = {}
