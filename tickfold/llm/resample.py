@@ -1,22 +1,26 @@
 """Quality classifier: importance resampling with hashed n-gram models and Gumbel top-k.
 
-Generative models over hashed unigrams and bigrams, each counted once a document
-(so that one repetitive text does not speak for its class), are fitted to a
-target (clean texts) and to the raw side. The raw side is a mixture of what the labels tell
-apart, low quality and toxic. All text is no component of it (a departure from
-target against raw) and only smooths the rates; a document's weight is
-the log ratio of the target's probability to that of the best raw component,
-with the log odds of the classes. N-grams whose rates in the two models do not differ
-by ``SIGNIFICANT`` standard errors count as equally likely, else the words that
-only the larger class has seen would favour it. Adding Gumbel noise to weight / temperature
-and taking the k largest draws k documents without replacement, in proportion to
-the tempered weights. k is the number of documents whose
-weight is at least -MARGIN.
+Two generative models over hashed n-grams are estimated, each n-gram counted once
+a document (so that one repetitive text does not speak for all): one of the target,
+the documents labelled clean, and one of the raw text, all documents of the corpus,
+labelled or not. A document's log weight is the log ratio of its probability under
+the target model to that under the raw model. Labels say only what the target is;
+low quality of a kind that no label names is found as well, by what the raw text
+has and the target lacks.
+
+Adding Gumbel noise to the log weights and taking the k largest keys draws k
+documents without replacement in proportion to their weights. k is given, or else
+the number of documents that rejection sampling with these ratios would accept,
+the sum of min(1, weight).
+
+N-grams whose two rates a G-test (``SIGNIFICANT``) cannot tell apart, or that differ
+by less than ``LEAST_RATIO``, count as equally likely: most of the many thousand of
+a text are rare, and chance would otherwise outweigh what tells texts apart.
 
 The models are arrays of ``BUCKETS`` counts, whatever the corpus; tasks sum them
 locally, the sums are added up by bucket, and only the arrays travel. Labelled
-rows are a bounded sample (``MAX_LABELLED`` ids, the least by hash); the
-background counts, the weights and the draw cover all documents. The draw ranks
+rows are a bounded sample (``MAX_LABELLED`` ids, the least by hash); the raw
+model, the weights and the draw cover all documents. The draw ranks
 narrow rows by a range sort, so no task holds all of them.
 """
 
@@ -35,18 +39,14 @@ MAX_LABELLED = 30_000
 #: Buckets of a table: for words, beginnings and marks, and (apart, since there are far more of them) for pairs. Both are powers of two.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 17, 1 << 16
 BUCKETS = 2 * (WORD_BUCKETS + PAIR_BUCKETS)
-TEMPERATURE = 0.1
 SEED = 42
 SMOOTHING = 0.5
-#: Losing a clean text costs e^MARGIN times as much as keeping a bad one.
-MARGIN = 2.0
-SIGNIFICANT = 7.0
-#: Texts of a class that an n-gram must occur in to count.
-LEAST_TEXTS = 4
-#: Documents' worth of background that each class model is smoothed with.
-STRENGTH = 5.0
+#: What twice the log likelihood ratio of one shared rate and of two must reach; among ``BUCKETS`` n-grams of equal rates one or two do by chance.
+SIGNIFICANT = 20.0
+#: Documents' worth of raw text that the target model is smoothed with.
+STRENGTH = 1.0
 #: Log ratios nearer to zero than this count as zero: neighbouring words of one language are far from independent.
-LEAST_RATIO = 2.5
+LEAST_RATIO = 1.5
 #: Lengths, in bytes, of the word beginnings that count as n-grams too, so that new forms of known stems are known.
 STEMS = (4, 5, 6)
 #: Shares of words equal to the one before from which a text counts as repetitive.
@@ -141,53 +141,57 @@ def histograms(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return parts.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(ratio[BUCKETS, 2], odds[2]): the log ratios of junk and of toxic to clean, by n-gram and by class.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> np.ndarray:
+    """ratio[BUCKETS]: the log ratio of the target's rate to that of raw text, by n-gram bucket.
 
-    Labels: doc_id, quality, toxic. Toxic is toxic = 1, junk is quality = 0 and
-    not toxic, clean the rest; rows with a null in any of them are not used, and of several labels of one
-    document the worst counts. The
-    class models are smoothed towards the rates over all documents.
+    Labels: doc_id, quality, toxic; the target is quality <> 0 and toxic <> 1. Rows
+    with a null in any of them are not used, and of several labels of one document
+    the worst counts. Without a target all ratios are 0.
     """
     bounded_batches(docs.sparkSession)
     whole = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    picked = whole.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    clean = (F.col("toxic") != 1) & (F.col("quality") != 0)
+    picked = whole.select("doc_id", clean.alias("clean")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).filter("clean")
     marked = docs.select("doc_id", "text").join(F.broadcast(stored(picked, "labels")), "doc_id", "left")
-    found = histograms(marked.select(F.coalesce("kind", F.lit(3)).alias("kind"), "text"))
-    wide = found.groupBy("bucket").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
-    counts = np.zeros((4, BUCKETS + 1))
-    # A bucket that few labelled texts of each class have cannot be significant. The rest are at most ``BUCKETS`` rows.
-    for r in wide.filter(F.greatest("n0", "n1", "n2") >= LEAST_TEXTS).collect():
-        counts[:, r["bucket"]] = r[1:]
-    texts, counts = counts[:, -1:], counts[:, :-1]
-    background = (counts.sum(axis=0) + SMOOTHING) / (texts.sum() + 1)
-    rate = (counts[:3] + STRENGTH * background) / (texts[:3] + STRENGTH)
-    pooled = np.clip((counts[1:3] + counts[0] + SMOOTHING) / (texts[1:3] + texts[0] + 1), 1e-9, 1 - 1e-9)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / (texts[1:3] + 1) + 1 / (texts[0] + 1)))
-    apart = np.abs(counts[1:3] / (texts[1:3] + 1) - counts[0] / (texts[0] + 1)) > SIGNIFICANT * error
-    odds = np.log((texts[1:3, 0] + 1) / (texts[0, 0] + 1))
-    ratio = np.log(rate[1:] / rate[0])
-    return np.where(apart & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0).T, odds
-
-
-def evidence(ratio: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    found = histograms(marked.select(F.when(F.col("clean"), 1).otherwise(0).alias("kind"), "text"))
+    wide = found.groupBy("bucket").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("target"), F.sum("n").alias("raw"))
+    counts = np.zeros((2, BUCKETS + 1))
+    for r in wide.collect():  # ``BUCKETS`` + 1 rows at most, whatever the corpus
+        counts[:, r["bucket"]] = r["target"], r["raw"]
+    return log_ratios(counts[:, :-1], counts[:, -1])
+
+
+def log_ratios(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """From the texts with each n-gram and all texts, of the target (first) and of raw text: the log ratios that count."""
+    if not texts[0]:
+        return np.zeros(counts.shape[1])
+    raw = (counts[1] + SMOOTHING) / (texts[1] + 1)
+    target = (counts[0] + STRENGTH * raw) / (texts[0] + STRENGTH)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = np.clip(counts[0] / texts[0], 0, 1)
+        one = np.where(seen > 0, seen * np.log(seen / raw), 0)
+        other = np.where(seen < 1, (1 - seen) * np.log((1 - seen) / np.clip(1 - raw, 1e-12, 1)), 0)
+    ratio = np.log(target / raw)
+    return np.where((2 * texts[0] * (one + other) >= SIGNIFICANT) & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0)
+
+
+def evidence(ratio: np.ndarray, live: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
     """The sum of log ratios of the different n-grams given by both their buckets; if these disagree, the one nearer to zero, or zero if their signs differ."""
     hit = live[low] & live[high]
     both = np.unique(np.stack([low[hit], high[hit]]), axis=1)
     a, b = ratio[both[0]], ratio[both[1]]
-    return np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0).sum(axis=0, dtype="f8")
+    return np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0).sum(dtype="f8")
 
 
-def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """(doc_id, log_weight, noise): the log ratio, and a Gumbel variate that the id and the text decide."""
     table = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(ratio.astype("f4")))
 
     def run(batches):
         grams, known = per_process("grams", Grams), table.value
-        live = known.any(axis=1)
+        live = known != 0
         for b in batches:
-            weight = [-float((evidence(known, live, *grams.of(x.as_py() or b"")) + odds).max()) for x in b.column(2).cast(pa.binary())]
+            weight = [float(evidence(known, live, *grams.of(x.as_py() or b""))) for x in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weight, pa.float64())], ["doc_id", "h", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, log_weight double")
@@ -195,20 +199,19 @@ def score(docs: DataFrame, ratio: np.ndarray, odds: np.ndarray) -> DataFrame:
     return rows.withColumn("noise", -F.log(-F.log(unit)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, k: int | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of docs: doc_id, h (hash of the text), log_weight, gumbel_key, rank (0 best), kept.
 
-    kept marks the k largest keys; without k, as many as have log_weight >= -MARGIN. A
-    null text counts as empty; empty texts have the weight of the class odds
-    alone. Null and repeated ids are rows like any others; ties in the key go to
-    the larger id, and rows equal in id and text share a key and rank side by
-    side. Without labels every weight is that of equal models and all rows are
-    kept. An empty table gives none; other columns are ignored.
+    kept marks the k largest keys; without k, k is the sum of min(1, weight),
+    rounded. A null text counts as empty. Null and repeated ids are rows like any
+    others; ties in the key go to the larger id, and rows equal in id and text
+    share a key and rank side by side. Without clean labels every weight is 1 and
+    all rows are kept. An empty table gives none; other columns are ignored.
     """
-    scored = stored(score(docs, *fit(docs, labels, max_labelled)), "resample-scores")
+    scored = stored(score(docs, fit(docs, labels, max_labelled)), "resample-scores")
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") / temperature + F.col("noise")).drop("noise")
     if k is None:
-        k = scored.filter(F.col("log_weight") >= -MARGIN).count()
+        k = round(scored.agg(F.sum(F.least(F.lit(1.0), F.exp("log_weight"))).alias("k")).first()["k"] or 0)
     ranked = global_rank(keyed, ["gumbel_key", "doc_id", "h"], "resample", descending=True)
     return ranked.withColumn("kept", F.col("rank") < k)
 
