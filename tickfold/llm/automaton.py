@@ -230,8 +230,19 @@ class Dfa:
         self.accepts = [accepts[one[b]] for b in order]
         self.start = place[block[0]] * self.width
         self.dead = None if dead is None else place[block[dead]] * self.width
+        self.ahead = self._ahead()
         self.hit_from = next((i for i, a in enumerate(self.accepts) if a), len(order)) * self.width
 
+    def _ahead(self) -> list[int]:
+        """For each state the rules that it or some state after it accepts."""
+        to = self.step.reshape(-1, self.width) // self.width
+        bits = np.array(self.accepts, "i8")
+        while True:
+            more = bits | np.bitwise_or.reduce(bits[to], axis=1)
+            if (more == bits).all():
+                return bits.tolist()
+            bits = more
+
     def longest(self, data: bytes, at: int) -> int:
         """The end of the longest match from at on, or -1."""
         s, end, step, kind = self.start, -1, self._step_list, self._kind_list

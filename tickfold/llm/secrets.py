@@ -3,9 +3,12 @@
 All rules, with their least lengths, are compiled into one minimal automaton and
 every text is scanned for all of them in one pass over its bytes. Bytes that no
 rule can use (the resets) lead back to the start from any state, so no match
-crosses them; around each place where a rule ended, the stretch between resets
-is taken apart by the automata of the single rules, leftmost first and longest,
-as non-overlapping searches for each kind would.
+crosses them. Where a rule ended, the stretch between resets is taken apart by the
+same rules as one automaton that begins where a match begins: from each byte that
+can begin a match of a kind still free there, one walk follows all kinds at once
+and notes the end of the longest match of each and where its body begins, until no
+such kind can accept any more. So the matches of each kind are leftmost, longest
+and do not overlap, as searches for each kind would give them.
 """
 
 from __future__ import annotations
@@ -65,38 +68,48 @@ class Scanner:
     def __init__(self, rules=RULES):
         self.rules = rules
         self.all = Dfa([r.full for r in rules], anywhere=True)
-        self.each = [Dfa([r.search], anywhere=False).prepare() for r in rules]
-        self.heads = [Dfa([r.head + r.body], anywhere=False).prepare() for r in rules]
-        self.first = [{b for b in range(256) if d._step_list[d.start + d._kind_list[b]] != d.dead} for d in self.each]
+        # Bit k: rule k has matched; bit n + k: its head and the first character of its body have.
+        self.spans = Dfa([r.search for r in rules] + [r.head + r.body for r in rules], anywhere=False).prepare()
+        self.mine = (1 << len(rules)) - 1
+        after = [(self.spans.start + kind) for kind in self.spans._kind_list]
+        self.first = [self.spans.ahead[self.spans._step_list[at] // self.spans.width] & self.mine for at in after]
         loose = Dfa([r.search for r in rules], anywhere=True)
         self.resets = loose.resets & self.all.resets
         self.reset = int(np.flatnonzero(self.resets)[0])
 
     def stretch(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) of all matches in data, which holds no reset."""
-        found = []
-        for k, (rule, dfa, head, first) in enumerate(zip(self.rules, self.each, self.heads, self.first, strict=True)):
-            at = 0
-            while at < len(data):
-                end = dfa.longest(data, at) if data[at] in first else -1
-                if end < 0:
-                    at += 1
-                    continue
-                if end - self.body_start(head, data, at, end) >= rule.least:
-                    found.append((at, end, k))
-                at = end
+        n, dfa = len(self.rules), self.spans
+        step, kind, width, accepts, ahead = dfa._step_list, dfa._kind_list, dfa.width, dfa.accepts, dfa.ahead
+        free, found = [0] * n, []
+        for at, byte in enumerate(data):
+            want = self.first[byte]
+            if not want:
+                continue
+            for k in range(n):
+                if want >> k & 1 and free[k] > at:
+                    want ^= 1 << k
+            end, body, s = {}, {}, dfa.start
+            if not want:
+                continue
+            for i in range(at, len(data)):
+                s = step[s + kind[data[i]]]
+                state = s // width
+                if got := accepts[state]:
+                    for k in range(n):
+                        if want >> k & 1:
+                            if got >> k & 1:
+                                end[k] = i + 1
+                            if got >> (n + k) & 1:
+                                body.setdefault(k, i)
+                if not ahead[state] & want:
+                    break
+            for k, stop in end.items():
+                free[k] = stop
+                if stop - body[k] >= self.rules[k].least:
+                    found.append((at, stop, k))
         return found
 
-    @staticmethod
-    def body_start(head: Dfa, data: bytes, at: int, end: int) -> int:
-        """Where the body of the match begins: before the first byte that completes head and one body byte."""
-        s = head.start
-        for i in range(at, end):
-            s = head._step_list[s + head._kind_list[data[i]]]
-            if s >= head.hit_from:
-                return i
-        return end
-
     def scan(self, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
         """For each text with matches: (start, end, rule) in bytes, by start and then rule."""
         out: dict[int, list[tuple[int, int, int]]] = {}
