@@ -3,8 +3,10 @@
 Built from DataFrame functions alone, and by turns throughout: no conversation is
 ever gathered into one row, so one of any length is dealt out like any other
 rows. A segment is one rendered turn; segments of (pair, part) in the order of
-(turn, role, text, copy), joined without anything between, give the full text,
-and the characters from mask_start to mask_end are what is learned.
+(turn with nulls last, segment, copy), joined without anything between, give the
+full text, and the characters from mask_start to mask_end are what is learned.
+``preference_pairs`` joins them: a row a pair, with the prompt once and both
+completions with their masks.
 """
 
 from __future__ import annotations
@@ -57,6 +59,37 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a pair, of all its segments, that preference_pairs puts into one row.
+LONGEST = 1 << 24
+
+
+def preference_pairs(segments: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """One row a pair: pair_id, whole, n_chars, prompt, chosen, rejected, chosen_mask, rejected_mask.
+
+    Takes the result of preference_segments. A mask is an array of (start, end) in
+    characters of its completion, what is learned. Parts without segments are
+    empty texts. Of a pair of more than ``longest`` characters whole is false and
+    texts and masks are null: such a pair is no row of bounded size, and its segments,
+    which are in their order, are the way to read it. An empty table gives none.
+    """
+    sizes = segments.groupBy("pair_id").agg(F.sum(F.char_length("segment")).cast("long").alias("n_chars"))
+    small = segments.join(sizes.filter(F.col("n_chars") <= longest).select("pair_id"), "pair_id", "left_semi")
+    one = F.struct(F.coalesce("turn", F.lit(LAST_TURN)).alias("turn"), "segment", "copy", "mask_start", "mask_end")
+    each = small.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["segment"]), "")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
+
+    def step(a, x):
+        span = F.struct((a["at"] + x["mask_start"]).alias("start"), (a["at"] + x["mask_end"]).alias("end"))
+        return F.struct((a["at"] + F.char_length(x["segment"])).cast("long").alias("at"), F.when(x["mask_end"] > 0, F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"))
+
+    parts = each.select("pair_id", "part", text.alias("text"), F.aggregate("s", start, step)["found"].alias("mask"))
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    joined = parts.groupBy("pair_id").agg(*[F.coalesce(of(p, "text"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")], *[F.coalesce(F.first(F.when(F.col("part") == p, F.col("mask")), ignorenulls=True), none).alias(f"{p}_mask") for p in ("chosen", "rejected")])
+    return sizes.join(joined, "pair_id", "left").select("pair_id", (F.col("n_chars") <= longest).alias("whole"), "n_chars", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
+
+
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_segments(sided_by_id(read_table(spark, sf_dir, "conversations")))
 
