@@ -231,8 +231,10 @@ def unsettled(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graded.select("bucket", "uid").distinct(), settled
 
 
-def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> DataFrame:
-    """Edges (a, b) between ids that connect all texts which share a bucket and ``least`` of their shingles.
+def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between uids that connect all texts which share a bucket and ``least`` of their shingles; and (uid, doc_id).
+
+    A uid is the hash of a row's id and text, so rows that repeat an id are told apart.
 
     First the members of a bucket are compared with its representative, the least
     uid (a hash of id and text): n - 1 pairs a bucket, and a large group has
@@ -253,7 +255,7 @@ def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least:
 
     bounded_batches(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text")).select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    texts = docs.filter("doc_id is not null").select(row_uid().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
     marked = stored(texts.mapInArrow(mark, "uid long, doc_id long, fps array<long>, bands array<long>"), "words-simhash")
     masks = covering_masks(radius)
     covering = [F.xxhash64(F.lit(k * len(masks) + i), F.col("fps")[k].bitwiseAND(F.lit(signed(m)))) for k in range(prints) for i, m in enumerate(masks)]
@@ -283,9 +285,11 @@ def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least:
         known = known.unionByName(stored(compared(fresh, texts, width, least), "similar-known"))
         settled = unsettled(met, known)[1].unionByName(reps.select("bucket", F.col("rep").alias("uid")))
         left, reach = members.select("bucket", "uid"), reach * 4
-    names = marked.select("uid", "doc_id").distinct()
-    edges = known.filter("grade = 2").join(names.select(F.col("uid").alias("a"), F.col("doc_id").alias("x")), "a").join(names.select(F.col("uid").alias("b"), F.col("doc_id").alias("y")), "b")
-    return edges.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return known.filter("grade = 2").select("a", "b"), marked.select("uid", "doc_id").distinct()
+
+
+def row_uid():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")))
 
 
 def keep_one_each(docs: DataFrame, prints: int = 8, radius: int = 3, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -296,12 +300,15 @@ def keep_one_each(docs: DataFrame, prints: int = 8, radius: int = 3, width: int
     pairs at 0.8 wherever the texts differ, or meet in a covering table of
     ``prints`` independent word fingerprints that differ in at most ``radius``
     bits. Texts without words are equal to
-    each other. Rows with null ids stay; rows that repeat an id stay or go together.
+    each other. Rows with null ids stay; rows that repeat an id are
+    members each by its own text (of equal ids the lesser hash stays), rows equal in
+    id and text stay or go together.
     """
-    groups = components(similar_pairs(docs, prints, radius, width, least))
-    lead = groups.groupBy("root").agg(F.min("v").alias("stays"))
-    gone = stored(groups.join(lead, "root").filter("v <> stays").select(F.col("v").alias("doc_id")), "simhash-dropped")
-    return docs.join(gone, "doc_id", "left_anti")
+    edges, names = similar_pairs(docs, prints, radius, width, least)
+    groups = stored(components(edges).join(names, F.col("v") == F.col("uid")).select("root", "uid", "doc_id"), "simhash-groups")
+    lead = groups.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("stays"))
+    gone = stored(groups.join(lead, "root").filter("uid <> stays.uid").select("uid"), "simhash-dropped")
+    return docs.join(gone, row_uid() == F.col("uid"), "left_anti")
 
 
 SQL: dict[str, str] = {}
