@@ -1,6 +1,7 @@
 """Operators on whole collections, against brute force, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -214,6 +215,14 @@ def test_keep_one_each_compares_all_that_share_a_bucket(spark):
     assert {r["doc_id"] for r in got} == want
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Of one id with several texts only the near copy goes."""
+    base = data.prose(31, 300)
+    rows = [(1, base), (2, data.edited(base, 100)), (2, data.prose(32, 200)), (3, data.prose(33, 200)), (3, data.prose(33, 200))]
+    left = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one_each(data.frame(spark, rows)).collect())
+    assert left == Counter({(1, base): 1, (2, data.prose(32, 200)): 1, (3, data.prose(33, 200)): 2})
+
+
 def test_near_copies_are_found_wherever_they_differ(spark):
     rows = []
     for k in range(60):
@@ -313,6 +322,43 @@ def test_resample_edges(spark):
     assert resample.resample(data.empty(spark), none).count() == 0
 
 
+def test_log_weights_by_hand(spark):
+    """The log weight of every document, recomputed text by text from the rates of its n-grams among the target and among all."""
+    rows, labels = labelled(spark, 150)
+    rows += [(500, None), (501, ""), (502, rows[0][1] * 30)]
+    got = {r["doc_id"]: r["log_weight"] for r in resample.resample(data.frame(spark, rows), labels.filter("doc_id < 120")).collect()}
+    grams = resample.Grams()
+    each = {i: {*map(tuple, np.stack(grams.of(data.raw(t))).T.tolist())} for i, t in rows}
+    target = [i for i in range(120) if i % 6 > 1]
+    having = {}
+    for i, pairs in each.items():
+        for b in {b for pair in pairs for b in pair}:
+            having.setdefault(b, set()).add(i)
+
+    def ratio(b):
+        n, all_, raw = len(target), len(rows), (len(having[b]) + 0.5) / (len(rows) + 1)
+        seen = len(having[b] & set(target)) / n
+        g = 2 * n * sum(p * math.log(p / q) for p, q in ((seen, raw), (1 - seen, 1 - raw)) if p > 0)
+        r = math.log((seen * n + raw) / (n + 1) / raw)
+        return r if g >= resample.SIGNIFICANT and abs(r) >= resample.LEAST_RATIO and all_ else 0.0
+
+    for i, pairs in each.items():
+        want = 0.0
+        for a, b in pairs:
+            x, y = ratio(a), ratio(b)
+            want += min(x, y, key=abs) if x * y > 0 else 0.0
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want)), i
+    assert min(got.values()) < -20 and got[500] == got[501]
+
+
+def test_raw_text_that_no_label_shows(spark):
+    """Low quality of a kind without labels: the raw model has it, the target does not."""
+    rows = [(i, data.prose(i, 60) + (" spam offer click" * 5 if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400) if i % 4], "doc_id long, quality int, toxic int")
+    got = resample.resample(data.frame(spark, rows), labels.filter("doc_id < 200")).collect()
+    assert all(r["kept"] == (r["doc_id"] % 4 != 0) for r in got)
+
+
 def test_gumbel_draw_follows_the_weights(spark):
     """Among texts of equal weight the draw is even; the noise has the standard Gumbel mean."""
     docs = data.frame(spark, [(i, "same words here") for i in range(4000)])

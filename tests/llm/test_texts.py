@@ -87,6 +87,24 @@ def test_scanner():
         assert [s for s in got.get(i, []) if s[2] < 3] == brute_secrets(t), t[:200]
 
 
+#: Each added kind as a plain expression: head, body and the least length of the body.
+ADDED = (r"gh[pousr]_([A-Za-z0-9]+)", 36), (r"xox[abprs]-([A-Za-z0-9-]+)", 10), (r"AIza([A-Za-z0-9_-]+)", 35), (r"eyJ([A-Za-z0-9_.-]+)", 40)
+
+
+def test_added_kinds():
+    """Positive matches of each added kind, against one search for each, among pieces that begin, end and overlap them."""
+    scanner, r = secrets.Scanner(), random.Random(9)
+    long = lambda n: "".join(r.choice("ABCxyz0189") for _ in range(n))
+    seen = Counter()
+    for _ in range(800):
+        whole = [f"ghp_{long(36)}", f"gho_{long(35)}", f"xoxb-{long(4)}-{long(6)}", f"xoxp-{long(9)}", f"AIza{long(35)}", f"AIza{long(34)}", f"eyJ{long(20)}.{long(30)}.{long(9)}", f"eyJ{long(39)}", "deadbeefdeadbeef", "token=", "é ", " ", "eyJeyJ", "_", "-"]
+        t = "".join(r.choice(whole) for _ in range(r.randint(1, 7))).encode()
+        want = sorted([*brute_secrets(t), *((m.start(), m.end(), k) for k, (p, least) in enumerate(ADDED, 3) for m in re.finditer(p.encode(), t) if len(m[1]) >= least)], key=lambda s: (s[0], s[2]))
+        assert scanner.scan([t]).get(0, []) == want, t
+        seen.update(k for _, _, k in want)
+    assert all(seen[k] > 50 for k in range(7) if k != 1)
+
+
 def test_automaton_agrees_with_re():
     r = random.Random(3)
     for rule in ("ab+c?", "(?:ab|cd){2,3}e", "[a-c]{2,}d", "(?i:ab)[^a]", r"x\x20*y"):
@@ -136,6 +154,35 @@ def test_warc_payloads_and_urls(spark, tmp_path):
     assert got[3]["url"] is None and got[4]["url"] == "http://c/%0D%0AX:%20y"
 
 
+def test_a_task_that_runs_twice(spark, tmp_path, monkeypatch):
+    """The same rows written again in another order and by archives of a few records, as by a second attempt: what the first left is not read."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    pages = [(i, f"http://p/{i}", f"<p>{i}</p>" * (i * 7 % 90)) for i in range(30)]
+    path = str(tmp_path / "w")
+    kept = lambda order: spark.createDataFrame([(i, u, h.encode(), warc.sha1_base32(h.encode()), i) for i, u, h in order], "page_id long, url string, payload binary, payload_digest string, keep_id long").coalesce(1)
+    warc.write_archives(kept(pages), path).collect()
+    again = warc.write_archives(kept(pages[::-1]), path).collect()
+    assert len(again) > 3 and sum(r["records"] for r in again) == 30
+    folders = {f"{path}/{r['folder']}" for r in again}
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, *folders).collect()) == list(range(30))
+    wrong = next((tmp_path / "w" / again[0]["folder"]).glob("*.zst"))
+    wrong.rename(wrong.with_name("part-00000-0000-n99.warc.zst"))
+    with pytest.raises(Exception, match="records"):
+        warc.read_archives(spark, *folders).collect()
+
+
+def test_other_records(spark, tmp_path):
+    """Archives of other writers: other record types are passed over, other ids and missing digests allowed."""
+    record = lambda kind, block, *more: "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1234>", "WARC-Date: 2024-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"
+    records = [record("warcinfo", b"software: x\r\n"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("response", http, "WARC-Target-URI: http://a/"), record("metadata", b"")]
+    (tmp_path / "o.warc.zst").write_bytes(warc.archive_bytes(records, b""))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(r["page_id"], r["record_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in got] == [(None, "<urn:uuid:1234>", 4, warc.sha1_base32(b"body"), "response")]
+    with pytest.raises(ValueError):
+        warc.parse(record("surprise", b""))
+
+
 def test_archive_damage():
     record = warc.record_bytes(1, "http://a/", b"body" * 50, warc.sha1_base32(b"body" * 50), None, False)
     assert warc.parse(record)["payload_bytes"] == 200
@@ -177,6 +224,34 @@ def test_shards(spark):
     assert hilbert.hilbert_shards(data.empty(spark), ["lang"]).count() == 0
 
 
+def test_a_filter_skips_shards(spark, tmp_path):
+    """Files by shard hold all rows, and a range of one or two dimensions needs few of them; without an order it would need all."""
+    r = random.Random(4)
+    langs = ["de", "en", "es", "fr"]
+    rows = [(i, f"text {i}", langs[r.randrange(4)], f"site{r.randrange(50):02d}", r.randrange(1, 20000) if i % 40 else None) for i in range(4800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    dims = ["lang", "source", "n_chars"]
+    ranges = hilbert.write_shards(docs, str(tmp_path / "w"), dims)
+    back = spark.read.parquet(str(tmp_path / "w"))
+    assert sorted(tuple(x) for x in back.drop("shard").collect()) == sorted(rows) if all(x[4] for x in rows) else back.count() == 4800
+    placed = {x["doc_id"]: x["shard"] for x in hilbert.hilbert_shards(docs, dims).collect()}
+    assert {x["doc_id"]: x["shard"] for x in back.collect()} == placed
+    for wanted, most in (({"lang": ("fr", "fr")}, 14), ({"n_chars": (None, 2000)}, 14), ({"source": ("site00", "site04"), "lang": ("de", "de")}, 6)):
+        need = hilbert.shards_to_read(ranges, wanted)
+        held = {x["shard"] for x in back.collect() if all((lo is None or (x[c] is not None and x[c] >= lo)) and (hi is None or (x[c] is not None and x[c] <= hi)) for c, (lo, hi) in wanted.items())}
+        assert held <= set(need) and len(need) <= most, (wanted, need)
+
+
+def test_steps_follow_the_values(spark):
+    """An independent quantiser: places on the curve of one dimension are in the order of its values, and as full as each other."""
+    docs = spark.createDataFrame([(i, "t", None, "s", (i * 7919) % 3000) for i in range(3000)] + [(9999, "t", None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = hilbert.hilbert_shards(docs, ["n_chars"], bits=4).join(docs.select("doc_id", "n_chars"), "doc_id").collect()
+    assert [x["curve"] for x in got if x["n_chars"] is None] == [0]
+    ordered = sorted((x for x in got if x["n_chars"] is not None), key=lambda x: x["n_chars"])
+    assert [x["curve"] for x in ordered] == sorted(x["curve"] for x in ordered)
+    assert all(150 <= n <= 450 for n in Counter(x["curve"] for x in ordered).values())
+
+
 # Preference
 
 TURNS = "pair_id long, chosen boolean, turn long, role string, text string, part string, n1 string"
@@ -204,3 +279,23 @@ def test_preference(spark):
     assert [x[0] for x in by(5)] == ["prompt"] and sorted(r["part"] for r in got if r["pair_id"] == 5 and r["turn"] is None) == ["chosen", "rejected"]
     assert [(x[0], x[2]) for x in by(6)] == [("chosen", 1), ("chosen", 2), ("rejected", 1)]
     assert preference.preference_segments(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_preference_pairs(spark):
+    """Each pair's texts and masks, against a plain walk over its turns; a very long pair stays in segments."""
+    mark = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    turns = [(1, side, k, "user" if k % 2 == 0 else "assistant", f"t{k if k < 3 else (k, side)}é") for side in (True, False) for k in range(6)]
+    turns += [(2, True, 0, "assistant", "x" * 500), (2, False, 0, "assistant", "y")]
+    df = spark.createDataFrame([(*t, "c", "c") for t in turns], TURNS)
+    got = {r["pair_id"]: r for r in preference.preference_pairs(preference.preference_segments(df), longest=400).collect()}
+    assert not got[2]["whole"] and got[2]["chosen"] is None and got[2]["n_chars"] > 500
+    assert got[1]["prompt"] == "".join(mark(r, t) for _, s, k, r, t in turns[:6] if k < 3)
+    for part, side in (("chosen", True), ("rejected", False)):
+        text, mask = "", []
+        for p, s, k, r, t in turns:
+            if p == 1 and s == side and k >= 3:
+                if r == "assistant":
+                    mask.append((len(text) + len("<|im_start|>assistant\n"), len(text) + len(mark(r, t))))
+                text += mark(r, t)
+        assert got[1][part] == text and [tuple(m) for m in got[1][f"{part}_mask"]] == mask
+    assert preference.preference_pairs(preference.preference_segments(df.limit(0))).count() == 0
