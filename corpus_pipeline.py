@@ -1,13 +1,22 @@
-"""Corpus preparation: five stages, each over all that the one before kept."""
+"""Corpus preparation: five stages, each over all that the one before kept.
+
+All stages but the last return rows of documents, with all columns they came with
+(clashing names do no harm). Null texts count as empty: equal to each other and to
+empty ones, without words, so never contaminated and never near copies of texts
+with words; of a group of equal texts one stays, null ids only if all of it have
+none. Rows that repeat an id are judged each by its own text; rows equal in id
+and text are kept or dropped together by the quality, near-dedup and
+decontamination stages, and one stays in exact dedup. Texts of any length are read
+whole. Ties are broken by id, then by hash. An empty table gives an empty table in
+every stage.
+"""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tickfold.llm import bpe, exact_dedup, inverted, resample, simhash
-from tickfold.llm.common import read_table, scratch_dir
+from tickfold.llm.common import read_table, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are stored in the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
