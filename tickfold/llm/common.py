@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_scratch, scratch_dir, scratch_path, stored  # noqa: F401
+from ..sources.scratch import _made, drop_scratch, scratch_dir, scratch_path, stored  # noqa: F401
 
 #: Rows in a batch that goes through Python.
 BATCH_ROWS = 256

@@ -19,6 +19,10 @@ starts elsewhere, in the same text or another.
    windows are equal exactly if both their f-byte phrase suffixes and their
    LENGTH - f following bytes fall in one run of common length, so the two suffix
    arrays together order all windows and show the repeated ones.
+   A digest that more than ``HOT`` contexts share, as around a passage that stands in
+   very many different places, is not sorted in one task: its windows are told
+   apart one by one, by digests that are summed up in every task first, so that no
+   group of them has more rows than there are tasks.
 4. Repeated window starts go back to their texts, which are cut.
 
 Texts travel by a digest key over all tasks, once for the contexts and once for
@@ -45,6 +49,8 @@ GRAM = 16
 SORT_ROWS = 20_000
 #: Digests of contexts that a task remembers.
 SEEN = 200_000
+#: Contexts of one digest that are sorted together, at most.
+HOT = 40_000
 KEY = ["doc_id", "text_h", "text_n"]
 
 
@@ -194,7 +200,10 @@ def contexts(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str,
     return rows.mapInArrow(run, CONTEXT)
 
 
-def ordered(found: DataFrame, length: int) -> DataFrame:
+STARTS = "ctx long, ctx2 long, starts array<int>"
+
+
+def ordered(found: DataFrame, length: int, hot: int) -> DataFrame:
     """(ctx, ctx2, starts array<int>): for each context with repeated windows, the f of each."""
 
     def run(batches):
@@ -222,22 +231,48 @@ def ordered(found: DataFrame, length: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
+            keys = b.column(b.schema.get_field_index("key"))
+            ends = size >= SORT_ROWS and held and keys[-1] != held[0].column("key")[0]  # else all that is held may be one digest that goes on
             held.append(b)
             size += b.num_rows
-            if size >= SORT_ROWS:
+            if ends:
                 table = pa.Table.from_batches(held)
                 keys = table.column("key").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last digest may go on
-                if cut:
-                    yield sort(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-                    size -= cut
+                yield sort(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+                size -= cut
         if size:
             yield sort(pa.Table.from_batches(held))
 
     bodies = found.filter("body is not null").select("key", "ctx", "ctx2", "body", "lead", "least")
-    parts = bodies.repartition("key").sortWithinPartitions("key")
-    return parts.mapInArrow(run, "ctx long, ctx2 long, starts array<int>")
+    many = stored(bodies.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "parse-hot")
+    if many.isEmpty():
+        return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(run, STARTS)
+    few = bodies.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(run, STARTS)
+    return few.unionByName(counted(stored(bodies.join(many, "key", "left_semi"), "parse-hot-contexts"), length))
+
+
+def counted(bodies: DataFrame, length: int) -> DataFrame:
+    """As ordered, window by window: those whose 128-bit digest occurs in another context or twice."""
+
+    def run(batches):
+        for b in batches:
+            out = {n: [] for n in ("ctx", "ctx2", "f", "w1", "w2")}
+            for c1, c2, body, lead, least in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
+                view = memoryview(body)
+                for f in range(least, lead + 1):
+                    w = xxhash.xxh3_128_digest(view[lead - f : lead - f + length])
+                    for n, v in zip(out, (c1, c2, f, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True)), strict=True):
+                        out[n].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "f" else pa.int64()) for n, v in out.items()], list(out))
+
+    times = bodies.groupBy("ctx", "ctx2").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("body").alias("body"), F.first("lead").alias("lead"), F.first("least").alias("least"))
+    times = stored(times.select("key", "ctx", "ctx2", "body", "lead", "least", "n"), "parse-hot-times", "zstd")
+    each = times.drop("n").mapInArrow(run, "ctx long, ctx2 long, f int, w1 long, w2 long").join(times.select("ctx", "ctx2", "n"), ["ctx", "ctx2"])
+    again = each.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("w1", "w2")
+    again = stored(again, "parse-hot-windows")  # stored, so that the join may split what is frequent
+    return each.join(again, ["w1", "w2"], "left_semi").groupBy("ctx", "ctx2").agg(F.array_sort(F.collect_list("f")).alias("starts"))
 
 
 def cut(text: bytes, starts: np.ndarray, length: int) -> tuple[int, int, list[tuple[int, int]], bytes]:
@@ -254,7 +289,7 @@ def cut(text: bytes, starts: np.ndarray, length: int) -> tuple[int, int, list[tu
     return int((end - begin).sum()), len(begin), list(zip(begin.tolist(), end.tolist(), strict=True)), b"".join(kept)
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start,end>> (bytes, end exclusive).
 
     Texts are UTF-8 bytes, a null text is empty; texts shorter than ``length``
@@ -269,7 +304,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "parse-shared")  # stored, so that the join may split a hot digest
     candidates = anchors.join(shared, "key", "left_semi").groupBy(*KEY).agg(F.collect_set("place").alias("picked"))
     found = stored(contexts(docs, stored(candidates, "parse-candidates"), id_col, text_col, length, reach), "parse-contexts", "zstd")
-    windows = stored(ordered(found, length), "parse-windows")
+    windows = stored(ordered(found, length, hot), "parse-windows")
     marked = found.select(*KEY, "trig", "ctx", "ctx2").join(windows, ["ctx", "ctx2"])
     starts = marked.groupBy(*KEY).agg(F.collect_list(F.struct("trig", "starts")).alias("hits"))
     starts = stored(starts, "parse-starts")
