@@ -91,6 +91,16 @@ def test_passages(spark, length, reach):
     assert parsing.dedup_passages(data.empty(spark)).count() == 0
 
 
+def test_hot_passages(spark, monkeypatch):
+    """One passage in many surroundings, all its digests above the bound, and rounds of a few rows: as by brute force."""
+    monkeypatch.setattr(parsing, "SORT_ROWS", 5)
+    passage = data.prose(50, 40)
+    rows = [(i, data.prose(60 + i, 5 + i % 3) + " " + passage + " " + data.prose(200 + i // 2, 6)) for i in range(40)] + data.texts()
+    for hot in (3, 1000):
+        got = Counter(tuple(r)[:5] for r in parsing.dedup_passages(data.frame(spark, rows), length=60, reach=30, hot=hot).collect())
+        assert got == brute_passages(rows, 60), hot
+
+
 def test_triggers_depend_on_the_window_alone():
     b = np.frombuffer((data.prose(9, 200) + "a" * 700).encode(), "u1")
     at, first, last = parsing.triggers(b)
