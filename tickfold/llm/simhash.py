@@ -308,7 +308,7 @@ def keep_one_each(docs: DataFrame, prints: int = 8, radius: int = 3, width: int
     groups = stored(components(edges).join(names, F.col("v") == F.col("uid")).select("root", "uid", "doc_id"), "simhash-groups")
     lead = groups.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("stays"))
     gone = stored(groups.join(lead, "root").filter("uid <> stays.uid").select("uid"), "simhash-dropped")
-    return docs.join(gone, row_uid() == F.col("uid"), "left_anti")
+    return docs.join(gone, row_uid() == gone["uid"], "left_anti")
 
 
 SQL: dict[str, str] = {}
