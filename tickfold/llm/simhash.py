@@ -17,7 +17,9 @@ of any size costs 65 rows a member and no group grows beyond 65.
 Components: randomised contraction over different fingerprints. Each round gives
 every vertex the member of its closed neighbourhood that comes first in a fresh
 hash order and contracts; the expected number of vertices falls by a constant
-factor a round. Each round is a stored table; nothing is collected.
+factor a round. Each round is a stored table; nothing is collected. What is left
+once at most ``LAST_EDGES`` edges are, one task joins up: rounds of so few cost
+jobs and no work.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BLOCK = 1 << 15
 LONG = 6
 #: Members of a bucket that are all compared with each other.
 SMALL = 8
+#: Edges that one task may join up.
+LAST_EDGES = 10_000
 #: MinHash bands over shingles, and rows of a band: texts at Jaccard 0.8 miss all bands with probability (1 - 0.8^5)^24 = 7e-5.
 BANDS, BAND_ROWS = 24, 5
 #: A salt and an odd factor for each MinHash.
@@ -100,24 +104,46 @@ def links(found: DataFrame) -> DataFrame:
     return hubs.select("a", F.explode("fps").alias("b")).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def joined_up(edges: DataFrame) -> DataFrame:
+    """(v, root) for every vertex of few edges (a, b), in one task."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def top(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent[top(a)] = top(b)
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([top(v) for v in parent], pa.int64())], ["v", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "v long, root long")
+
+
+def relabelled(label: DataFrame, step: DataFrame) -> DataFrame:
+    moved = step.select(F.col("v").alias("root"), F.col("root").alias("next"))
+    return stored(label.join(moved, "root", "left").select("v", F.coalesce("next", "root").alias("root")), "cc-label")
+
+
+def components(edges: DataFrame, last: int = LAST_EDGES) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): equal roots exactly in one component."""
     edges = stored(edges, "cc-edges")
     label, turn = None, 0
-    while not edges.isEmpty():
+    while edges.limit(last + 1).count() > last:
         turn += 1
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), c.alias("v"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min(order(F.col("b"))), order(F.first("a"))).getField("v").alias("root"))
         step = stored(step, "cc-step")
-        if label is None:
-            label = step
-        else:
-            moved = step.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            label = stored(label.join(moved, "root", "left").select("v", F.coalesce("next", "root").alias("root")), "cc-label")
+        label = step if label is None else relabelled(label, step)
         ends = edges.join(step.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b")
         edges = stored(ends.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("root")) if label is None else label
+    step = stored(joined_up(edges), "cc-last")
+    return step if label is None else relabelled(label, step)
 
 
 def near_dedup(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,20 +257,66 @@ def unsettled(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graded.select("bucket", "uid").distinct(), settled
 
 
-def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) between uids that connect all texts which share a bucket and ``least`` of their shingles; and (uid, doc_id).
+def rare_shingles(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(bucket, uid): the rarest shingles of each text, as many as any two texts at Jaccard ``least`` or more must have one of in common.
+
+    Such a pair shares at least k = ceil(least * n) of the n shingles of either,
+    so in one order of all shingles, by rarity and hash, the first n - k + 1 of
+    both have one in common. Those that stand in no other text come first and
+    meet nothing; they are counted and not written. A text without words has one
+    shingle, 0.
+    """
+
+    def cut(batches):
+        for b in batches:
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = shingles(text, width)
+                found = found if len(found) else np.zeros(1, "u8")
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([uid] * n, pa.int64()), pa.array([n] * n, pa.int32()), pa.array(found.view("i8"), pa.int64())], ["uid", "n", "s"])
+
+    found = stored(texts.select("uid", "text").mapInArrow(cut, "uid long, n int, s long").distinct(), "similar-shingles")
+    common = stored(found.groupBy("s").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "similar-common")
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("all"))
+    held = found.join(common, "s").groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "s"))).alias("all"))
+    return stored(held.select("uid", F.explode(F.slice("all", F.lit(1), F.greatest(first, F.lit(0)))).alias("x")).select(F.col("x.s").alias("bucket"), "uid"), "similar-rare")
+
+
+def joined(roots: DataFrame, fresh: DataFrame) -> DataFrame:
+    """roots (v, root) with the components that the edges fresh (a, b) make one; vertices new to roots are added."""
+    ends = fresh.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
+    moved = components(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    old = roots.join(moved.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
+    return stored(old.unionByName(moved.join(roots.select("v"), "v", "left_anti").select("v", "root")), "similar-roots")
+
+
+def open_members(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, uid, root, n, least) for the rows (bucket, uid) of left whose bucket holds two components: n members, least the first of them."""
+    rooted = left.join(roots.withColumnRenamed("v", "uid"), "uid", "left").select("bucket", "uid", F.coalesce("root", "uid").alias("root"))
+    rooted = stored(rooted, "similar-rooted")
+    live = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n", "least")
+    return stored(rooted.join(stored(live, "similar-live"), "bucket"), "similar-members")
+
+
+def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(v, root): the components of texts that share a bucket and ``least`` of their shingles, texts without a partner left out; and (uid, doc_id).
 
     A uid is the hash of a row's id and text, so rows that repeat an id are told apart.
 
     First the members of a bucket are compared with its representative, the least
     uid (a hash of id and text): n - 1 pairs a bucket, and a large group has
     nearly the same representative in all tables, which keeps its different pairs
-    few. Those not settled by that (see ``unsettled``) are dealt again among
-    themselves until no bucket holds members of two components: all members of
-    a bucket of up to ``SMALL`` are compared with each other, of a larger one with
-    about ``SMALL`` representatives, four times as many in each further round.
-    So each pair that shares a bucket is compared, linked by others, or too far
-    apart by the triangle inequality.
+    few. Texts not settled by that (see ``unsettled``) whose bucket holds members
+    of two components are dealt again by their rarest shingles (see
+    ``rare_shingles``), which every pair at ``least`` or more of them shares and
+    loose groups, such as texts around one common passage or far edits of one
+    text, mostly do not. Members of these buckets are compared until none holds
+    members of two components: all of a bucket of up to ``SMALL`` with each other,
+    of a larger one with about ``SMALL`` representatives, four times as many in
+    each further round. So each pair that shares a bucket is compared, linked by
+    others, or too far apart by the triangle inequality or for want of a rare
+    shingle in common.
     """
 
     def mark(batches):
@@ -266,26 +338,25 @@ def similar_pairs(docs: DataFrame, prints: int, radius: int, width: int, least:
     met = stored(dealt.join(first, "bucket").filter("uid <> rep").select("bucket", "rep", "uid", "n"), "similar-met")
     known = stored(compared(stored(ordered_pairs(met), "similar-candidates"), texts, width, least), "similar-known")
     left, settled = unsettled(met.filter("n > 2").select("bucket", "rep", "uid"), known)
+    roots = components(known.filter("grade = 2").select("a", "b"))
+    members = open_members(left.join(settled, ["bucket", "uid"], "left_anti"), roots)
     reach = SMALL
-    while True:
-        left = stored(left.join(settled, ["bucket", "uid"], "left_anti"), "similar-left")
-        if left.isEmpty():
-            break
-        roots = components(known.filter("grade = 2").select("a", "b"))
-        rooted = left.join(roots.withColumnRenamed("v", "uid"), "uid", "left").select("bucket", "uid", F.coalesce("root", "uid").alias("root"))
-        rooted = stored(rooted, "similar-rooted")
-        live = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n", "least")
-        members = stored(rooted.join(stored(live, "similar-live"), "bucket"), "similar-members")
-        if members.isEmpty():
-            break
+    if not members.isEmpty():
+        # A representative of an open bucket is no member of left, but has been compared with all of it.
+        again = stored(members.select("uid").distinct(), "similar-open")
+        members = open_members(rare_shingles(texts.join(again, "uid"), width, least), roots)
+    while not members.isEmpty():
         chosen = (F.pmod(F.xxhash64("uid", F.lit(reach)), F.lit(1 << 20)) * F.col("n") < reach << 20) | (F.col("uid") == F.col("least"))
         reps = stored(members.filter(chosen).select("bucket", F.col("uid").alias("rep"), F.col("root").alias("rep_root")), "similar-reps")
         met = stored(members.join(reps, "bucket").filter("root <> rep_root").select("bucket", "rep", "uid"), "similar-met")
         fresh = stored(ordered_pairs(met).join(known, ["a", "b"], "left_anti"), "similar-candidates")
-        known = known.unionByName(stored(compared(fresh, texts, width, least), "similar-known"))
+        fresh = stored(compared(fresh, texts, width, least), "similar-known")
+        known = known.unionByName(fresh)
         settled = unsettled(met, known)[1].unionByName(reps.select("bucket", F.col("rep").alias("uid")))
-        left, reach = members.select("bucket", "uid"), reach * 4
-    return known.filter("grade = 2").select("a", "b"), marked.select("uid", "doc_id").distinct()
+        roots = joined(roots, fresh.filter("grade = 2").select("a", "b"))
+        members = open_members(members.select("bucket", "uid").join(settled, ["bucket", "uid"], "left_anti"), roots)
+        reach *= 4
+    return roots, marked.select("uid", "doc_id").distinct()
 
 
 def row_uid():
@@ -304,8 +375,8 @@ def keep_one_each(docs: DataFrame, prints: int = 8, radius: int = 3, width: int
     members each by its own text (of equal ids the lesser hash stays), rows equal in
     id and text stay or go together.
     """
-    edges, names = similar_pairs(docs, prints, radius, width, least)
-    groups = stored(components(edges).join(names, F.col("v") == F.col("uid")).select("root", "uid", "doc_id"), "simhash-groups")
+    roots, names = similar_groups(docs, prints, radius, width, least)
+    groups = stored(roots.join(names, F.col("v") == F.col("uid")).select("root", "uid", "doc_id"), "simhash-groups")
     lead = groups.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("stays"))
     gone = stored(groups.join(lead, "root").filter("uid <> stays.uid").select("uid"), "simhash-dropped")
     return docs.join(gone, row_uid() == gone["uid"], "left_anti")
