@@ -167,11 +167,33 @@ def test_near(spark):
 
 def test_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + i // 2) for i in range(1, 40)] + [(200, 201)]
-    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    roots = {}
-    for r in got:
-        roots.setdefault(r["root"], set()).add(r["v"])
-    assert sorted(map(sorted, roots.values())) == [list(range(61)), list(range(100, 140)), [200, 201]]
+    for last in (0, 30, simhash.LAST_EDGES):  # by contraction, by both, in one task
+        got = simhash.components(spark.createDataFrame(edges, "a long, b long"), last).collect()
+        roots = {}
+        for r in got:
+            roots.setdefault(r["root"], set()).add(r["v"])
+        assert sorted(map(sorted, roots.values())) == [list(range(61)), list(range(100, 140)), [200, 201]]
+
+
+def test_components_joined_to_known_ones(spark):
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    roots = simhash.joined(simhash.components(frame([(1, 2), (2, 3), (4, 5), (6, 7)])), frame([(3, 5), (8, 9), (9, 7), (10, 11), (1, 3)]))
+    found = {}
+    for r in roots.collect():
+        found.setdefault(r["root"], []).append(r["v"])
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3, 4, 5], [6, 7, 8, 9], [10, 11]]
+
+
+def test_rare_shingles_meet(spark):
+    base = data.prose(21, 150)
+    texts = [data.edited(base, step) for step in (*range(6, 40, 3), *range(40, 150, 3))] + [base, base + " " + data.prose(22, 20), data.prose(23, 3), data.prose(23, 3) + " ", "", " "]
+    rows = [(i, t.encode()) for i, t in enumerate(texts)]
+    rare = simhash.rare_shingles(spark.createDataFrame(rows, "uid long, text binary"), 5, 0.8)
+    other = rare.select("bucket", *[rare[c].alias(f"rep_{c}") for c in ("uid", "size", "rest")])
+    met = {(r["uid"], r["rep_uid"]) for r in rare.join(other, "bucket").filter("uid < rep_uid").filter(simhash.enough(0.8)).collect()}
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    close = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(close) > 100 and close <= met and len(met) < len(sets) * (len(sets) - 1) // 2
 
 
 def test_links_are_exact(spark):

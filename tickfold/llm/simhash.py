@@ -244,27 +244,30 @@ def ordered_pairs(met: DataFrame) -> DataFrame:
 
 
 def unsettled(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What met (bucket, rep, uid) leaves in its buckets by the grades of known: (bucket, uid) that some representative failed to link, or that may still match one; and those that are settled.
+    """What met (bucket, rep, uid, due) leaves in its buckets by the grades of known: (bucket, uid) that some representative failed to link, or that may still match one; and those that are settled.
 
     The distance 1 - Jaccard is a metric. A member within 1 - least of its
     representative can match another one outside that only if the other is within
     twice that distance of the representative (grade 1). Where a bucket has none
-    of grade 1, the linked members are settled.
+    of grade 1 and all ``due`` members of other components have been compared, the
+    linked members are settled.
     """
-    graded = met.withColumn("a", F.least("uid", "rep")).withColumn("b", F.greatest("uid", "rep")).join(known, ["a", "b"]).select("bucket", "rep", "uid", "grade")
-    closed = graded.groupBy("bucket", "rep").agg(F.max((F.col("grade") == 1).cast("int")).alias("near")).filter("near = 0").select("bucket", "rep")
+    graded = met.withColumn("a", F.least("uid", "rep")).withColumn("b", F.greatest("uid", "rep")).join(known, ["a", "b"]).select("bucket", "rep", "uid", "grade", "due")
+    closed = graded.groupBy("bucket", "rep").agg(F.max((F.col("grade") == 1).cast("int")).alias("near"), F.count(F.lit(1)).alias("seen"), F.max("due").alias("due"))
+    closed = closed.filter("near = 0 and seen = due").select("bucket", "rep")
     settled = graded.filter("grade = 2").join(closed, ["bucket", "rep"], "left_semi").select("bucket", "uid")
     return graded.select("bucket", "uid").distinct(), settled
 
 
 def rare_shingles(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(bucket, uid): the rarest shingles of each text, as many as any two texts at Jaccard ``least`` or more must have one of in common.
+    """(bucket, uid, size, rest): the rarest shingles of each text, as many as any two texts at Jaccard ``least`` or more must have one of in common.
 
     Such a pair shares at least k = ceil(least * n) of the n shingles of either,
     so in one order of all shingles, by rarity and hash, the first n - k + 1 of
-    both have one in common. Those that stand in no other text come first and
-    meet nothing; they are counted and not written. A text without words has one
-    shingle, 0.
+    both have one in common: the first of all that they share. They share none
+    before it, so at most ``rest`` of both: that one and those after it (see
+    ``enough``). Shingles that stand in no other text come first and meet nothing;
+    they are counted and not written. A text without words has one shingle, 0.
     """
 
     def cut(batches):
@@ -277,9 +280,16 @@ def rare_shingles(texts: DataFrame, width: int, least: float) -> DataFrame:
 
     found = stored(texts.select("uid", "text").mapInArrow(cut, "uid long, n int, s long").distinct(), "similar-shingles")
     common = stored(found.groupBy("s").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "similar-common")
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("all"))
     held = found.join(common, "s").groupBy("uid", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "s"))).alias("all"))
-    return stored(held.select("uid", F.explode(F.slice("all", F.lit(1), F.greatest(first, F.lit(0)))).alias("x")).select(F.col("x.s").alias("bucket"), "uid"), "similar-rare")
+
+    first = F.greatest(F.size("all") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int") + 1, F.lit(0))
+    dealt = held.select("uid", F.col("n").alias("size"), F.size("all").alias("common"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "x"))
+    return stored(dealt.select(F.col("x.s").alias("bucket"), "uid", "size", (F.col("common") - F.col("at")).alias("rest")), "similar-rare")
+
+
+def enough(least: float):
+    """Whether two texts (size, rest and rep_size, rep_rest) that first meet in a bucket can have Jaccard ``least``: they then share least / (1 + least) of the sum of their sizes."""
+    return F.least("rest", "rep_rest") * F.lit(1 + least) >= (F.col("size") + F.col("rep_size")) * F.lit(least) - F.lit(1e-9)
 
 
 def joined(roots: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -292,8 +302,8 @@ def joined(roots: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def open_members(left: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, uid, root, n, least) for the rows (bucket, uid) of left whose bucket holds two components: n members, least the first of them."""
-    rooted = left.join(roots.withColumnRenamed("v", "uid"), "uid", "left").select("bucket", "uid", F.coalesce("root", "uid").alias("root"))
+    """The rows of left (bucket, uid and others) whose bucket holds two components, with root, n and least: n members, least the first of them."""
+    rooted = left.join(roots.withColumnRenamed("v", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     rooted = stored(rooted, "similar-rooted")
     live = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n", "least")
     return stored(rooted.join(stored(live, "similar-live"), "bucket"), "similar-members")
@@ -313,10 +323,10 @@ def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least:
     loose groups, such as texts around one common passage or far edits of one
     text, mostly do not. Members of these buckets are compared until none holds
     members of two components: all of a bucket of up to ``SMALL`` with each other,
-    of a larger one with about ``SMALL`` representatives, four times as many in
-    each further round. So each pair that shares a bucket is compared, linked by
-    others, or too far apart by the triangle inequality or for want of a rare
-    shingle in common.
+    of a larger one with about ``SMALL`` representatives, 16 times as many in each
+    further round, but for pairs that cannot have ``enough`` in common. So each
+    pair that shares a bucket is compared, linked by others, or too far apart by
+    the triangle inequality or by what its rarest shingles leave to share.
     """
 
     def mark(batches):
@@ -337,7 +347,7 @@ def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least:
     first = stored(first, "similar-buckets")  # stored, so that the join may split a hot bucket
     met = stored(dealt.join(first, "bucket").filter("uid <> rep").select("bucket", "rep", "uid", "n"), "similar-met")
     known = stored(compared(stored(ordered_pairs(met), "similar-candidates"), texts, width, least), "similar-known")
-    left, settled = unsettled(met.filter("n > 2").select("bucket", "rep", "uid"), known)
+    left, settled = unsettled(met.filter("n > 2").select("bucket", "rep", "uid", (F.col("n") - 1).alias("due")), known)
     roots = components(known.filter("grade = 2").select("a", "b"))
     members = open_members(left.join(settled, ["bucket", "uid"], "left_anti"), roots)
     reach = SMALL
@@ -347,15 +357,17 @@ def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least:
         members = open_members(rare_shingles(texts.join(again, "uid"), width, least), roots)
     while not members.isEmpty():
         chosen = (F.pmod(F.xxhash64("uid", F.lit(reach)), F.lit(1 << 20)) * F.col("n") < reach << 20) | (F.col("uid") == F.col("least"))
-        reps = stored(members.filter(chosen).select("bucket", F.col("uid").alias("rep"), F.col("root").alias("rep_root")), "similar-reps")
-        met = stored(members.join(reps, "bucket").filter("root <> rep_root").select("bucket", "rep", "uid"), "similar-met")
+        reps = members.filter(chosen).select("bucket", F.col("uid").alias("rep"), F.col("root").alias("rep_root"), F.col("size").alias("rep_size"), F.col("rest").alias("rep_rest"), "n")
+        own = members.groupBy("bucket", F.col("root").alias("rep_root")).agg(F.count(F.lit(1)).alias("own"))
+        reps = stored(reps.join(own, ["bucket", "rep_root"]).withColumn("due", F.col("n") - F.col("own")).drop("n", "own"), "similar-reps")
+        met = stored(members.join(reps, "bucket").filter((F.col("root") != F.col("rep_root")) & enough(least)).select("bucket", "rep", "uid", "due"), "similar-met")
         fresh = stored(ordered_pairs(met).join(known, ["a", "b"], "left_anti"), "similar-candidates")
         fresh = stored(compared(fresh, texts, width, least), "similar-known")
         known = known.unionByName(fresh)
         settled = unsettled(met, known)[1].unionByName(reps.select("bucket", F.col("rep").alias("uid")))
         roots = joined(roots, fresh.filter("grade = 2").select("a", "b"))
-        members = open_members(members.select("bucket", "uid").join(settled, ["bucket", "uid"], "left_anti"), roots)
-        reach *= 4
+        members = open_members(members.drop("root", "n", "least").join(settled, ["bucket", "uid"], "left_anti"), roots)
+        reach *= 16
     return roots, marked.select("uid", "doc_id").distinct()
 
 
