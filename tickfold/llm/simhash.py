@@ -243,8 +243,8 @@ def ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("uid", "rep").alias("a"), F.greatest("uid", "rep").alias("b")).distinct()
 
 
-def unsettled(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What met (bucket, rep, uid, due) leaves in its buckets by the grades of known: (bucket, uid) that some representative failed to link, or that may still match one; and those that are settled.
+def settled(met: DataFrame, known: DataFrame) -> DataFrame:
+    """(bucket, uid) of the members of met (bucket, rep, uid, due) that need no other comparison in their bucket, by the grades of known.
 
     The distance 1 - Jaccard is a metric. A member within 1 - least of its
     representative can match another one outside that only if the other is within
@@ -255,8 +255,17 @@ def unsettled(met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     graded = met.withColumn("a", F.least("uid", "rep")).withColumn("b", F.greatest("uid", "rep")).join(known, ["a", "b"]).select("bucket", "rep", "uid", "grade", "due")
     closed = graded.groupBy("bucket", "rep").agg(F.max((F.col("grade") == 1).cast("int")).alias("near"), F.count(F.lit(1)).alias("seen"), F.max("due").alias("due"))
     closed = closed.filter("near = 0 and seen = due").select("bucket", "rep")
-    settled = graded.filter("grade = 2").join(closed, ["bucket", "rep"], "left_semi").select("bucket", "uid")
-    return graded.select("bucket", "uid").distinct(), settled
+    return graded.filter("grade = 2").join(closed, ["bucket", "rep"], "left_semi").select("bucket", "uid")
+
+
+def open_texts(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The uids that may still match another text of their buckets, by the pairs (a, b, grade) of representatives a and members b: all of a representative's members that have two components, or, if none is of grade 1 (see ``settled``), those not linked to it that have."""
+    rooted = pairs.join(roots.select(F.col("v").alias("b"), "root"), "b", "left").select("a", "b", "grade", F.coalesce("root", "b").alias("root"))
+    rooted = stored(rooted, "similar-rooted")
+    far = F.when(F.col("grade") == 0, F.col("root"))
+    by_rep = rooted.groupBy("a").agg(F.max((F.col("grade") == 1).cast("int")).alias("near"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(far).alias("far_lo"), F.max(far).alias("far_hi"))
+    live = stored(by_rep.filter("near = 1 and lo <> hi or near = 0 and far_lo <> far_hi").select("a", "near"), "similar-live")
+    return stored(rooted.join(live, "a").filter("near = 1 or grade = 0").select(F.col("b").alias("uid")).distinct(), "similar-open")
 
 
 def rare_shingles(texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -317,8 +326,7 @@ def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least:
     First the members of a bucket are compared with its representative, the least
     uid (a hash of id and text): n - 1 pairs a bucket, and a large group has
     nearly the same representative in all tables, which keeps its different pairs
-    few. Texts not settled by that (see ``unsettled``) whose bucket holds members
-    of two components are dealt again by their rarest shingles (see
+    few. Texts that this leaves open (see ``open_texts``) are dealt again by their rarest shingles (see
     ``rare_shingles``), which every pair at ``least`` or more of them shares and
     loose groups, such as texts around one common passage or far edits of one
     text, mostly do not. Members of these buckets are compared until none holds
@@ -346,15 +354,12 @@ def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least:
     first = dealt.groupBy("bucket").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = stored(first, "similar-buckets")  # stored, so that the join may split a hot bucket
     met = stored(dealt.join(first, "bucket").filter("uid <> rep").select("bucket", "rep", "uid", "n"), "similar-met")
-    known = stored(compared(stored(ordered_pairs(met), "similar-candidates"), texts, width, least), "similar-known")
-    left, settled = unsettled(met.filter("n > 2").select("bucket", "rep", "uid", (F.col("n") - 1).alias("due")), known)
+    # The representative is the least uid, so a. Buckets of two members leave nothing to compare.
+    pairs = stored(met.groupBy(F.col("rep").alias("a"), F.col("uid").alias("b")).agg(F.max("n").alias("n")), "similar-candidates")
+    known = stored(compared(pairs.select("a", "b"), texts, width, least), "similar-known")
     roots = components(known.filter("grade = 2").select("a", "b"))
-    members = open_members(left.join(settled, ["bucket", "uid"], "left_anti"), roots)
-    reach = SMALL
-    if not members.isEmpty():
-        # A representative of an open bucket is no member of left, but has been compared with all of it.
-        again = stored(members.select("uid").distinct(), "similar-open")
-        members = open_members(rare_shingles(texts.join(again, "uid"), width, least), roots)
+    again = open_texts(known.join(pairs.filter("n > 2").select("a", "b"), ["a", "b"]), roots)
+    members, reach = open_members(rare_shingles(texts.join(again, "uid"), width, least), roots), SMALL
     while not members.isEmpty():
         chosen = (F.pmod(F.xxhash64("uid", F.lit(reach)), F.lit(1 << 20)) * F.col("n") < reach << 20) | (F.col("uid") == F.col("least"))
         reps = members.filter(chosen).select("bucket", F.col("uid").alias("rep"), F.col("root").alias("rep_root"), F.col("size").alias("rep_size"), F.col("rest").alias("rep_rest"), "n")
@@ -364,9 +369,9 @@ def similar_groups(docs: DataFrame, prints: int, radius: int, width: int, least:
         fresh = stored(ordered_pairs(met).join(known, ["a", "b"], "left_anti"), "similar-candidates")
         fresh = stored(compared(fresh, texts, width, least), "similar-known")
         known = known.unionByName(fresh)
-        settled = unsettled(met, known)[1].unionByName(reps.select("bucket", F.col("rep").alias("uid")))
+        done = settled(met, known).unionByName(reps.select("bucket", F.col("rep").alias("uid")))
         roots = joined(roots, fresh.filter("grade = 2").select("a", "b"))
-        members = open_members(members.drop("root", "n", "least").join(settled, ["bucket", "uid"], "left_anti"), roots)
+        members = open_members(members.drop("root", "n", "least").join(done, ["bucket", "uid"], "left_anti"), roots)
         reach *= 16
     return roots, marked.select("uid", "doc_id").distinct()
 
