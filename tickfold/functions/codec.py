@@ -65,17 +65,18 @@ def encode(observations: DataFrame, waits: DataFrame, queries: DataFrame) -> Dat
     return packed.select("sample_ts", "database", "active_count", F.flatten(F.transform("parts", lambda p: p["part"])).alias("data"))
 
 
-#: Entries of the two dictionaries at most: of waits, and of query ids in one slot.
+#: Entries of the two dictionaries at most: of waits, and, where they are capped, of query ids in one slot.
 WAIT_CAP, QUERY_CAP = 32_000, 50_000
 SPREAD = 64
 
 
-def register(known: DataFrame, seen: DataFrame, names: list[str], cap: int, slot: str | None = None) -> DataFrame:
+def register(known: DataFrame, seen: DataFrame, names: list[str], cap: int | None, slot: str | None = None) -> DataFrame:
     """The dictionary known (id, *names) with new combinations of seen under the next ids, up to cap entries; what is over the cap stays unknown (see cap_hits).
 
     With slot, one of names, ids and the cap are those of each slot. New
     combinations are cut to the cap in ``SPREAD`` parts before the rest, SPREAD *
-    cap rows at most, are numbered together.
+    cap rows at most, are numbered together. Without a cap all get an id: each part
+    is numbered by itself, after those before it.
     """
     from pyspark.sql import Window
 
@@ -85,11 +86,20 @@ def register(known: DataFrame, seen: DataFrame, names: list[str], cap: int, slot
     fresh = seen.select(*names).distinct().join(known, cond, "left_anti")
     last = known.groupBy(*by).agg(F.max("id").alias("last"))
     spread = fresh.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
-    cut = spread.withColumn("k", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))).filter(F.col("k") <= cap).drop("k", "part")
-    placed = cut.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)))
+    ranked = spread.withColumn("k", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order)))
+    if cap is None:
+        sizes = ranked.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"))  # SPREAD rows a slot
+        before = F.sum("n").over(Window.partitionBy(*by).orderBy("part")) - F.col("n")
+        parts = sizes.select(*[F.col(c).alias(f"{c}__") for c in (*by, "part")], before.alias("before"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in (*by, "part")]
+        placed = ranked.join(F.broadcast(parts), same).select(*names, (F.col("k") + F.col("before")).alias("k"))
+    else:
+        placed = ranked.filter(F.col("k") <= cap).drop("k", "part")
+        placed = placed.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)))
     placed = placed.join(F.broadcast(last), slot, "left") if by else placed.crossJoin(F.broadcast(last))
     number = F.col("k") + F.coalesce("last", F.lit(0))
-    return known.select("id", *names).unionByName(placed.filter(number <= cap).select(number.cast("int").alias("id"), *names))
+    placed = placed if cap is None else placed.filter(number <= cap)
+    return known.select("id", *names).unionByName(placed.select(number.cast("int").alias("id"), *names))
 
 
 def slot_of(config, day) -> Column:
@@ -98,12 +108,15 @@ def slot_of(config, day) -> Column:
     return F.pmod(F.floor(F.datediff(F.to_date(day), F.lit("1970-01-01")) / days), F.lit(config.num_partitions)).cast("int")
 
 
-def build_dictionaries(observations: DataFrame, slot: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(waits, queries) with ids from 1 in the order of their names; with slot, a column of observations, query ids are numbered in each slot."""
+def build_dictionaries(observations: DataFrame, slot: str | None = None, capped: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(waits, queries) with ids from 1 in the order of their names; with slot, a column of observations, query ids are numbered in each slot.
+
+    Query ids over QUERY_CAP are left out unless capped is false; then all get a number, in no order.
+    """
     spark = observations.sparkSession
     waits = register(spark.createDataFrame([], "id int, state string, type string, event string"), observations.select("state", F.col("wait_event_type").alias("type"), F.col("wait_event").alias("event")), ["state", "type", "event"], WAIT_CAP)
     names = ["query_id", slot] if slot else ["query_id"]
-    queries = register(spark.createDataFrame([], "id int, query_id long" + (f", {slot} int" if slot else "")), observations.filter("query_id is not null").select(*names), names, QUERY_CAP, slot)
+    queries = register(spark.createDataFrame([], "id int, query_id long" + (f", {slot} int" if slot else "")), observations.filter("query_id is not null").select(*names), names, QUERY_CAP if capped else None, slot)
     return waits, queries
 
 
