@@ -6,11 +6,13 @@ Each takes since and until; the variants that took an interval are
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..history import History
-from ..model import DAY, HOUR, MINUTE, as_time, display, duration, floor_col, floor_to, r2, seconds
+from ..model import DAY, HOUR, MINUTE, TOP_QUERIES, as_time, display, duration, floor_col, floor_to, r2, seconds
 from . import readers, render
 
 
@@ -137,12 +139,34 @@ def minute_waits(h: History, since, until, limit: int = 10) -> DataFrame:
 
 
 def hourly_queries(h: History, since, until, limit: int = 10) -> DataFrame:
-    """hour, query_id, backend_seconds, avg_backends: the leading queries of each stored hour; the average is over its samples."""
-    rows = h.hours_in(floor_to(seconds(since), HOUR), seconds(until))
-    ticks = rows.groupBy("ts").agg(F.max("samples").alias("ticks"))
-    counts = rows.select("ts", F.inline("query_counts")).groupBy("ts", "query_id").agg(F.sum("cnt").alias("n"))
+    """hour, query_id, backend_seconds, avg_backends: the leading queries of each stored hour; the average is over its samples.
+
+    A list of TOP_QUERIES may have been cut, so an hour that has one is counted from
+    raw rows. Where these do not reach back to it, its lists are all there is, and a
+    warning tells.
+    """
+    first, end = floor_to(seconds(since), HOUR), seconds(until)
+    rows, raw = h.hours_in(first, end), h.stats.raw_start
+    held = F.lit(False)
+    if raw is not None:
+        edge = floor_to(raw, HOUR)  # raw has the whole of this hour too if nothing is stored from before it
+        none = ~F.exists(F.slice("minute_counts", 1, (raw - edge) // MINUTE), lambda n: n.isNotNull())
+        held = (F.col("ts") >= raw) | ((F.col("ts") == edge) & F.coalesce(none, F.lit(False)))
+    hours = rows.groupBy("ts").agg(F.max("samples").alias("ticks"), F.max(F.size("query_counts") >= TOP_QUERIES).alias("cut"), F.min(held).alias("held"))
+    found = hours.filter("cut").agg(F.count(F.lit(1)).alias("cut"), F.count_if("held").alias("held")).first()
+    if found["cut"] > found["held"]:
+        warnings.warn(f"hourly_queries: {found['cut'] - found['held']} hours from before raw retention store {TOP_QUERIES} queries a database; what was cut off is missing from their sums", stacklevel=2)
+    listed = rows
+    if found["held"]:
+        again = F.broadcast(hours.filter("cut and held").select("ts"))
+        listed = rows.join(again, "ts", "left_anti")
+    each = listed.select("ts", F.inline("query_counts"))
+    if found["held"]:
+        near = h.raw(max(first, floor_to(raw, HOUR)), floor_to(end - 1, HOUR) + HOUR).filter("query_id is not null").select(floor_col(F.col("ts"), HOUR).alias("ts"), "query_id")
+        each = each.unionByName(near.join(again, "ts", "left_semi").groupBy("ts", "query_id").agg(F.count(F.lit(1)).alias("cnt")))
+    counts = each.groupBy("ts", "query_id").agg(F.sum("cnt").alias("n"))
     order = Window.partitionBy("ts").orderBy(F.col("n").desc(), "query_id")
-    led = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).join(ticks, "ts")
+    led = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).join(hours.select("ts", "ticks"), "ts")
     return led.select(as_time(F.col("ts")).alias("hour"), "query_id", r2(F.col("n") * F.lit(h.interval)).alias("backend_seconds"), r2(F.col("n") / F.col("ticks")).alias("avg_backends"))
 
 
